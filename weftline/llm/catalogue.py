@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import queries_text
+from weftline.llm import queries_files, queries_near, queries_text
 
 QUERIES = {
     "op3_bpe_round_trip": queries_text.op3_bpe_round_trip,
+    "op5_sharding": queries_files.op5_sharding,
+    "op6_warc_revisits": queries_files.op6_warc_revisits,
+    "op7_imatch": queries_files.op7_imatch,
     "op8_packing": queries_text.op8_packing,
+    "op10_ngram_join": queries_near.op10_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {}
