@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import queries_files, queries_near, queries_text
+from weftline.llm import queries_files, queries_labels, queries_near, queries_text
 
 QUERIES = {
+    "op1_toxicity": queries_labels.op1_toxicity,
     "op3_bpe_round_trip": queries_text.op3_bpe_round_trip,
     "op5_sharding": queries_files.op5_sharding,
     "op6_warc_revisits": queries_files.op6_warc_revisits,
