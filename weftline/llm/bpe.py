@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from weftline.llm.common import texts
 
 #: Words that a worker remembers before it forgets the older half.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 # The word pattern of the byte-level vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

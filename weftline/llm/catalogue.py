@@ -6,6 +6,7 @@ from weftline.llm import queries_files, queries_labels, queries_near, queries_te
 
 QUERIES = {
     "op1_toxicity": queries_labels.op1_toxicity,
+    "op2_personal_data": queries_labels.op2_personal_data,
     "op3_bpe_round_trip": queries_text.op3_bpe_round_trip,
     "op5_sharding": queries_files.op5_sharding,
     "op6_warc_revisits": queries_files.op6_warc_revisits,

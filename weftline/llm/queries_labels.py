@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import toxicity
+from weftline.llm import personal, toxicity
 from weftline.llm.common import table
 
 #: A text is predicted toxic from this score on.
@@ -21,3 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
     found = toxicity.score(docs, toxicity.fit(docs, labels))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal.all_spans(docs, personal.fit(docs))
+    count = lambda n: F.size(F.filter("_spans", lambda s: s["kind"] == n)).cast("long")
+    return found.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(personal.PATTERNS)), F.sha2(personal.as_text("_base"), 256).alias("base_sha256"), personal.as_text("_spans").alias("spans"))
