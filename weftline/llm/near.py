@@ -279,7 +279,13 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class, that with the least id; all columns stay."""
+    """``docs`` with one row of each class, that with the least id; all columns stay.
+
+    Of rows that repeat both id and text one stays. Rows with a null id stand for
+    their class only where no row of it has an id, and then all stay.
+    """
     classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
-    kept = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    kept = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(text_col)
+    return rows.withColumn("_copy", F.row_number().over(same)).where(F.col(id_col).isNull() | (F.col("_copy") == 1)).select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import personal, toxicity
+from weftline.llm import licences, personal, toxicity
 from weftline.llm.common import table
 
 #: A text is predicted toxic from this score on.
@@ -28,3 +28,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.all_spans(docs, personal.fit(docs))
     count = lambda n: F.size(F.filter("_spans", lambda s: s["kind"] == n)).cast("long")
     return found.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(personal.PATTERNS)), F.sha2(personal.as_text("_base"), 256).alias("base_sha256"), personal.as_text("_spans").alias("spans"))
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))

@@ -1,12 +1,18 @@
-"""Query of the n-gram similarity join."""
+"""Queries of the similarity operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import near
+from weftline.llm import near, topk
 from weftline.llm.common import table
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+    return found.withColumnRenamed("id", "vec_id")
