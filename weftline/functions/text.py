@@ -131,12 +131,19 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def token_overlap(text: Column, tokens: list[str]) -> Column:
-    """1 for each token that stands as a word, 0.5 for each other token that occurs."""
+    """1 for each token that stands as a word of ASCII letters, digits and underscores, 0.5 for each other token that occurs."""
     low = F.lower(text)
-    parts = [F.when(low.contains(t), F.when(low.rlike(rf"\b{_quoted(t)}\b"), 1.0).otherwise(0.5)).otherwise(0.0) for t in tokens]
+    parts = [F.when(low.contains(t), F.when(low.rlike(_as_word(t)), 1.0).otherwise(0.5)).otherwise(0.0) for t in tokens if t]
     return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
 
+def _as_word(token: str) -> str:
+    """The token between word boundaries, which depend on whether its ends are word characters."""
+    edge = lambda c, inner, outer: inner if c.isascii() and (c.isalnum() or c == "_") else outer
+    before, after = edge(token[0], r"(?<![A-Za-z0-9_])", r"(?<=[A-Za-z0-9_])"), edge(token[-1], r"(?![A-Za-z0-9_])", r"(?=[A-Za-z0-9_])")
+    return f"{before}{_quoted(token)}{after}"
+
+
 def _quoted(token: str) -> str:
     return "".join(f"\\{c}" if c in r"\.^$|()[]{}*+?-" else c for c in token)
 
