@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import near, packing, personal, toxicity
-from weftline.llm.common import fresh_path, table
+from weftline.llm.common import free_name, fresh_path, table
 from weftline.llm.queries_labels import TOXIC_FROM, held_out
 from weftline.llm.queries_text import vocabulary
 
@@ -14,7 +14,8 @@ from weftline.llm.queries_text import vocabulary
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; labels of held-out documents aren't learned from."""
     voters = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return toxicity.with_score(docs, voters).where(F.col("_score") < TOXIC_FROM).select(docs.columns)
+    score = free_name(docs, "_score")
+    return toxicity.with_score(docs, voters, score_col=score).where(F.col(score) < TOXIC_FROM).select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores after it until no column has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Identifier and text alone, a null text as the empty one."""
     return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))

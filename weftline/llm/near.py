@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.bpe import Remembered
-from weftline.llm.common import texts, written
+from weftline.llm.common import free_name, texts, written
 
 #: n-gram length, least similarity, recall of a pair just as similar as that, most band hashes of a text.
 N, SIMILAR, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
@@ -41,7 +41,7 @@ def bands_for(similarity: float = SIMILAR, recall: float = RECALL, most: int = M
     """(bands, rows): the most rows, so the fewest false meetings, at which ``recall`` holds with ``most`` hashes."""
     best = (most, 1)
     for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)) if similarity < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(similarity**rows))) if similarity**rows < 1 else 1
         if bands * rows <= most:
             best = (bands, rows)
     return best
@@ -285,7 +285,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     their class only where no row of it has an id, and then all stay.
     """
     classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
-    kept = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    kept_id, copy = free_name(docs, "_kept"), free_name(docs, "_copy")
+    kept = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias(kept_id)).distinct()
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
     same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(text_col)
-    return rows.withColumn("_copy", F.row_number().over(same)).where(F.col(id_col).isNull() | (F.col("_copy") == 1)).select(docs.columns)
+    return rows.withColumn(copy, F.row_number().over(same)).where(F.col(id_col).isNull() | (F.col(copy) == 1)).select(docs.columns)

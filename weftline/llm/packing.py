@@ -82,7 +82,7 @@ class Windows:
         self.size, self.most, self.least_cut = size, most, least_cut
         self.open: dict[int, list] = {}
         self.room: dict[int, int] = {}
-        self.key = ((round_no << 31) + partition) << 31
+        self.key = ((round_no << 24) + partition) << 34  # 5 bits of rounds, 24 of partitions, 34 of windows
 
     def _new(self) -> int:
         self.key += 1

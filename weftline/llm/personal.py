@@ -15,7 +15,8 @@ possessive, and a run can only be entered at its start.
 Defined cases: a null text is the empty text, without spans; offsets are code
 points, ends exclusive; spans of different base kinds may overlap; without any
 candidate the trees are empty and nothing joins; other columns are kept by
-``redact``.
+``redact``, whatever their names, while ``all_spans`` replaces those that bear the
+names of its own.
 """
 
 from __future__ import annotations
@@ -221,7 +222,7 @@ def redact(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     A text without spans, a null one too, stays as it is.
     """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    found = all_spans(docs, model, text_col)
+    found = all_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col)), model, text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -230,4 +231,4 @@ def redact(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
 
     rest = lambda acc: F.concat(acc["out"], F.col(text_col).substr(acc["at"] + 1, F.length(text_col)))
     changed = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, changed).select(docs.columns)
+    return found.select(*(changed.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -10,7 +10,8 @@ intervals that move, and a row follows the interval that its middle byte lies in
 Defined cases: a null text has no bytes; every row has 8 bytes besides its text, so
 empty ones spread too; rows that repeat lie next to each other on the axis; an
 empty table gives no rows; equal texts are not kept together, since the law here is
-that shard sizes are near equal; other columns are kept by ``rewrite``.
+that shard sizes are near equal; other columns are kept by ``rewrite``, but for
+those that bear the names of the operator's own (``OWN``), which are dropped.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from weftline.llm.common import fresh_path
 
 #: Bytes that a block should have, and blocks that an old shard has at least.
 BLOCK_BYTES, LEAST_BLOCKS = 32 << 20, 16
+OWN = ("_size", "_old", "_spread", "_block", "_row", "_upto", "_from", "_shard", "_slot", "_bytes", "_n", "_least", "_base")
 
 
 def cheapest_moves(old: list[int], capacities: list[int]) -> list[list[int]]:
@@ -94,6 +96,7 @@ def _target(cuts: dict[int, list[tuple[int, int]]], shard: Column, middle: Colum
 def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None) -> tuple[DataFrame, list[list[int]]]:
     """All columns with _size, _old, _block, _row (within the block) and _shard, and the moves in bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.drop(*OWN)
     sized = docs.withColumns({"_size": F.octet_length(text).cast("long") + 8, "_old": old_shard.cast("int"), "_spread": F.xxhash64(F.col(id_col), F.crc32(F.encode(text, "utf-8")))})
     totals = {r["_old"]: r["bytes"] for r in sized.groupBy("_old").agg(F.sum("_size").alias("bytes")).collect()}
     old = [totals.get(i, 0) for i in range(n_old)]

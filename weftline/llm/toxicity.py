@@ -36,8 +36,8 @@ from weftline.llm.common import texts, written
 
 #: Labelled rows that are learned from at most, terms of the lexicon at most, lengths of word beginnings.
 MOST_ROWS, MOST_TERMS, STEMS = 20_000, 400, (4, 5, 6)
-#: Rows in which a term must occur, and how many times commoner it must be in toxic rows.
-LEAST_ROWS, LEAST_RATIO = 5, 4.0
+#: Toxic rows in which a term must occur, as a share and at least, and how many times commoner it must be in toxic rows.
+LEAST_SHARE, LEAST_ROWS, LEAST_RATIO = 0.0025, 3, 4.0
 WORD = re.compile(r"\w+")
 # Pattern voters.
 PATTERNS = (r"!{2,}", r"\b[A-Z]{4,}\b", r"(?i)\byou(?:'re| are)? (?:an?|such|all)\b", r"[@#$%&*]{3,}", r"(?i)\b(?:shut up|hate you|go away)\b")
@@ -135,12 +135,22 @@ def learn_lexicon(rows: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
     total = counts.where("term = ''").first()
     if total is None or not total["toxic"] or not total["clean"]:
         return []
+    counts = counts.where(F.col("toxic") >= LEAST_SHARE * total["toxic"])
     p, q = F.col("toxic") / F.lit(float(total["toxic"])), (F.col("clean") + 0.5) / F.lit(float(total["clean"]))
     scored = counts.where("term <> ''").where(p >= LEAST_RATIO * q)
     # log-likelihood gain of telling the classes apart by the term
     return [r["term"] for r in scored.orderBy((F.col("toxic") * F.log(p / q)).desc(), "term").limit(most_terms).collect()]
 
 
+def _weighted(x: np.ndarray, weight: np.ndarray, block: int = 2000) -> np.ndarray:
+    """Sum of weighted outer products of the rows, a block of rows at a time."""
+    out = np.zeros((x.shape[1], x.shape[1]))
+    for k in range(0, len(x), block):
+        part = x[k : k + block].astype(float)
+        out += (part * weight[k : k + block, None]).T @ part
+    return out
+
+
 def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior, log evidence of each voter's vote, share of it that is its own).
 
@@ -157,8 +167,8 @@ def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 25) -> tuple
         a, b = (votes.T @ post + 0.5) / (w1 + 1), (votes.T @ (1 - post) + 0.5) / (w0 + 1)
         evidence = np.log(a / b)
         if round_no == 2:  # correlations within a class, once the classes have settled
-            mean1, mean0 = votes.T @ post / max(w1, 1e-9), votes.T @ (1 - post) / max(w0, 1e-9)
-            cov = ((votes * post[:, None]).T @ votes / max(w1, 1e-9)) - np.outer(mean1, mean1)
+            mean1 = votes.T @ post / max(w1, 1e-9)
+            cov = _weighted(votes, post) / max(w1, 1e-9) - np.outer(mean1, mean1)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             own = 1.0 / np.maximum(1.0, np.maximum(cov / np.outer(sd, sd), 0).sum(axis=1))
         h1, h0 = (post @ human + 1) / (w1 + 2), ((1 - post) @ human + 1) / (w0 + 2)
@@ -174,7 +184,7 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (target - p) - ridge * w
-        hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        hess = _weighted(x, p * (1 - p) + 1e-6) + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(hess, grad)
         w += step
         if np.abs(step).max() < 1e-6:
