@@ -51,6 +51,8 @@ def imported(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, files_per_se
     ``edges`` has from_path, to_path and position; ``chunks`` may have ``overlap``, by
     which they are taken first.
     """
+    if files_per_seed <= 0 or per_file <= 0:
+        return chunks.limit(0).select(file, "chunk_index").withColumns({"score": F.lit(0.0), "source": F.lit("import")})
     order = [F.col("overlap").desc(), "chunk_index"] if "overlap" in chunks.columns else ["chunk_index"]
     best = per_group_cap(chunks, file, per_file, *order).select(file, "chunk_index")
     score = seeds.groupBy(file).agg(F.max("score").alias("_seed"))

@@ -153,7 +153,7 @@ def smart_topk_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {RRF}, top AS (SELECT f.doc_id, score, src, source FROM fused f JOIN documents USING (doc_id) ORDER BY score DESC, f.doc_id LIMIT 60)
+    f"""WITH {RRF.replace("FROM dist QUALIFY", "FROM dist WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY")}, top AS (SELECT f.doc_id, score, src, source FROM fused f JOIN documents USING (doc_id) ORDER BY score DESC, f.doc_id LIMIT 60)
     SELECT doc_id, round(score, 6) AS score, src AS source FROM top QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 5"""
 )
 def hybrid_search_documents(spark: SparkSession, sf: str) -> DataFrame:
