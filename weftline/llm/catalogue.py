@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import queries_files, queries_labels, queries_near, queries_text
+from weftline.llm import oracle, queries_files, queries_labels, queries_near, queries_text
 
 QUERIES = {
     "op1_toxicity": queries_labels.op1_toxicity,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_licence_scan": queries_labels.op9_licence_scan,
     "op10_ngram_join": queries_near.op10_ngram_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
