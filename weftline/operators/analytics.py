@@ -92,6 +92,24 @@ def sessions_with_counts(sessions: DataFrame, ledger: DataFrame, limit: int | No
     return out.orderBy(F.col("started_at").desc(), "session_id").limit(limit) if limit else out
 
 
+def ended_sessions(sessions: DataFrame, ledger: DataFrame, now_ms: int) -> DataFrame:
+    """``sessions`` with ended_at and the sums of their ledger rows, 0 where there are none."""
+    sums = ledger.groupBy("session_id").agg(F.sum("tokens_saved").alias("total_tokens_saved"), F.sum("dollars_saved").alias("total_dollars_saved"))
+    out = sessions.join(sums, "session_id", "left").withColumn("ended_at", F.lit(now_ms).cast("long"))
+    return out.withColumns({"total_tokens_saved": F.coalesce("total_tokens_saved", F.lit(0)), "total_dollars_saved": F.coalesce("total_dollars_saved", F.lit(0.0))})
+
+
+def moving_average(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.3) -> DataFrame:
+    """(key, average): the exponential moving average of each key's values in order, from the first one on."""
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("_v")))).alias("_all"))
+    start = F.lit(None).cast("double")
+    return listed.select(key, F.aggregate("_all", start, lambda a, r: F.when(a.isNull(), r["_v"]).otherwise(alpha * r["_v"] + (1 - alpha) * a)).alias("average"))
+
+
+def index_stats(chunks: DataFrame, file: str = "file_path") -> DataFrame:
+    return chunks.agg(F.count_distinct(file).alias("files"), F.count(F.lit(1)).alias("chunks"), F.coalesce(F.max("indexed_at"), F.lit(0)).alias("last_indexed"))
+
+
 def ranking_metrics(retrieved: DataFrame, relevant: DataFrame, ks: list[int], keys: list[str]) -> DataFrame:
     """Per case: rr, and recall and ndcg at each k.
 

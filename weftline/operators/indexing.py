@@ -71,6 +71,24 @@ def repaired(text_index: DataFrame, vector_ids: DataFrame, key: str = "chunk_id"
     return text_index.join(vector_ids.select(key).distinct(), key, "left_semi")
 
 
+def file_chunks(chunks: DataFrame, paths: DataFrame, key: str = "file_path") -> DataFrame:
+    """The chunks of the given files, in order."""
+    return chunks.join(paths.select(key).distinct(), key, "left_semi").orderBy(key, "chunk_index")
+
+
+def younger_than(cache: DataFrame, now_ms: int, most_ms: int, written: str = "written_at") -> DataFrame:
+    """The cache without entries that are older than ``most_ms``."""
+    return cache.where(F.col(written) >= now_ms - most_ms)
+
+
+def graph_states(files: DataFrame, states: DataFrame) -> DataFrame:
+    """(path, hash, status): skipped where the language has no extractor, indexed where the hash is known, else pending."""
+    known = states.select("path", F.col("hash").alias("_hash"), F.col("status").alias("_status"))
+    fits = F.lower(F.substring_index("path", ".", -1)).isin("ts", "tsx", "js", "jsx")
+    done = F.col("_hash").eqNullSafe(F.col("hash")) & F.col("_status").eqNullSafe(F.lit("indexed"))
+    return files.join(known, "path", "left").select("path", "hash", F.when(~fits, "skipped").when(done, "indexed").otherwise("pending").alias("status"))
+
+
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_k = 1").drop("_k")
 

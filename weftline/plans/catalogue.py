@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as fx
-from weftline.operators import analytics, chunking, context, filters, graph, indexing, retrieval
+from weftline.operators import access, analytics, chunking, context, filters, graph, indexing, reports, retrieval
 from weftline.plans.hybrid import hybrid_search
 from weftline.sources.readers import embedding_misses
 from weftline.sources.tables import files, ledger, table
@@ -505,3 +505,67 @@ def jaccard_previous_turn(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(fx.word_tokens(F.coalesce("text", F.lit("")))).alias("t"))
     before = F.lag("t").over(Window.partitionBy("conv_id").orderBy("turn"))
     return rows.withColumn("p", before).select("conv_id", "turn", F.round(F.when(F.col("p").isNull(), 0.0).otherwise(fx.jaccard(F.col("p"), F.col("t"))), 6).alias("similarity"))
+
+
+@query(f"{CHUNKS} SELECT doc_id, chunk_index, raw_start FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def keyed_chunk_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    return indexing.file_chunks(_chunks(spark, sf), wanted, "doc_id").select("doc_id", "chunk_index", "raw_start")
+
+
+@query(f"{CHUNKS} SELECT count(DISTINCT doc_id) AS files, count(*) AS chunks, coalesce(max(doc_id * 1000), 0) AS last_indexed FROM chunks")
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.index_stats(_chunks(spark, sf).withColumn("indexed_at", F.col("doc_id") * 1000), "doc_id")
+
+
+@query("SELECT user_id, round(list_reduce(list(value ORDER BY event_id), lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a), 6) AS average FROM events GROUP BY user_id")
+def moving_average_by_user(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.moving_average(table(spark, sf, "events"), "user_id", "event_id", "value").withColumn("average", F.round("average", 6))
+
+
+@query("SELECT user_id, event_type FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1")
+def commonest_event_type(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.first_mode(table(spark, sf, "events"), "user_id", "event_type", "event_id")
+
+
+@query(f"WITH {LEDGER}, s AS (SELECT 's' || c_custkey AS session_id FROM customer) SELECT s.session_id, 99::BIGINT AS ended_at, coalesce(sum(tokens_saved), 0)::BIGINT AS total_tokens_saved, round(coalesce(sum(dollars_saved), 0), 6) AS total_dollars_saved FROM s LEFT JOIN ledger USING (session_id) GROUP BY s.session_id")
+def session_end(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("session_id"))
+    return analytics.ended_sessions(rows, _ledger(spark, sf), 99).select("session_id", "ended_at", "total_tokens_saved", F.round("total_dollars_saved", 6).alias("total_dollars_saved"))
+
+
+TOKENS = "t AS (SELECT o_orderkey AS id, 'u' || o_custkey AS user_id, o_orderstatus <> 'P' AS is_active, CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE epoch_us(o_orderdate) // 1000 END AS expires_at, epoch_us(o_orderdate) // 1000 AS last_used_at FROM orders)"
+
+
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as access tokens: the customer is the user, the date the last use, and the expiry but for urgent ones."""
+    at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"), (F.col("o_orderstatus") != "P").alias("is_active"), F.when(~F.col("o_orderpriority").startswith("1"), at).alias("expires_at"), at.alias("last_used_at")
+    )
+
+
+@query(f"WITH {TOKENS} SELECT id, user_id FROM t WHERE is_active AND (expires_at IS NULL OR expires_at >= 800000000000)")
+def valid_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return access.valid_tokens(_tokens(spark, sf), 800_000_000_000).select("id", "user_id")
+
+
+@query(f"WITH {TOKENS} SELECT count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (NOT is_active) AS revoked FROM t")
+def token_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return access.token_stats(_tokens(spark, sf))
+
+
+@query(f"WITH {TOKENS} SELECT user_id, max(last_used_at) AS last_used_at, count(*) AS tokens FROM t WHERE last_used_at IS NOT NULL GROUP BY user_id ORDER BY last_used_at DESC, user_id LIMIT 10")
+def recent_activity(spark: SparkSession, sf: str) -> DataFrame:
+    return access.recent_activity(_tokens(spark, sf))
+
+
+@query(f"""{CHUNKS}, parts AS (SELECT doc_id, chunk_index, raw_start, raw_end, chunk_index // 2 AS part FROM chunks), spans AS (SELECT doc_id, part, min(raw_start) AS f, max(raw_end) AS t FROM parts GROUP BY doc_id, part),
+    seeds AS (SELECT doc_id, chunk_index, part, 1.0::DOUBLE / (1 + doc_id + chunk_index) AS score FROM parts WHERE chunk_index = doc_id % 3), best AS (SELECT * FROM seeds QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY score DESC, chunk_index) = 1)
+    SELECT doc_id, length(substr(text, f + 1, t - f))::INT AS chars, round(score, 6) AS score FROM best JOIN spans USING (doc_id, part) JOIN documents d USING (doc_id) WHERE regexp_matches(substr(text, f + 1, t - f), '\\S') ORDER BY best.score DESC, doc_id, chunk_index LIMIT 20""")
+def raw_code_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = _chunks(spark, sf).withColumns({"file_path": F.col("doc_id").cast("string"), "breadcrumb": F.concat(F.lit("part "), F.floor(F.col("chunk_index") / 2).cast("string"))})
+    seeds = chunks.where("chunk_index = doc_id % 3").select("file_path", "chunk_index", (1.0 / (1 + F.col("doc_id") + F.col("chunk_index"))).alias("score"), F.lit("vector").alias("source"))
+    whole = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    found = reports.raw_blocks(seeds, chunks, whole, 20)
+    return found.select(F.col("file_path").cast("long").alias("doc_id"), F.length("text").alias("chars"), F.round("score", 6).alias("score"))
