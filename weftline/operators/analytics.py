@@ -100,10 +100,15 @@ def ended_sessions(sessions: DataFrame, ledger: DataFrame, now_ms: int) -> DataF
 
 
 def moving_average(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """(key, average): the exponential moving average of each key's values in order, from the first one on."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("_v")))).alias("_all"))
-    start = F.lit(None).cast("double")
-    return listed.select(key, F.aggregate("_all", start, lambda a, r: F.when(a.isNull(), r["_v"]).otherwise(alpha * r["_v"] + (1 - alpha) * a)).alias("average"))
+    """(key, average): the exponential moving average of each key's values in order, from the first one on.
+
+    As a weighted sum: a value that k later ones follow has the weight
+    alpha * (1 - alpha) ** k, the first value all the weight that is left.
+    """
+    w = Window.partitionBy(key)
+    placed = rows.select(key, F.col(value).cast("double").alias("_v"), (F.row_number().over(w.orderBy(F.col(order).desc())) - 1).alias("_later"), F.count(F.lit(1)).over(w).alias("_n"))
+    weight = F.pow(F.lit(1 - alpha), F.col("_later")) * F.when(F.col("_later") == F.col("_n") - 1, 1.0).otherwise(alpha)
+    return placed.groupBy(key).agg(F.sum(F.col("_v") * weight).alias("average"))
 
 
 def index_stats(chunks: DataFrame, file: str = "file_path") -> DataFrame:

@@ -122,21 +122,29 @@ def packed(segments: DataFrame, per_file: int = 3, budget: int = 48_000, file: s
 
 
 def greedy_batches(rows: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
-    """``rows`` with batch, from 0 in each group: rows in order, a batch closing before it would exceed ``limit``.
+    """(group, order, batch), batches from 0 in each group: rows in order, a batch closing before it would exceed ``limit``.
 
-    A row larger than the limit is a batch of its own. A fold over each group.
+    A row larger than the limit is a batch of its own. Where a batch ends depends on
+    all rows before it, so a group's rows pass through one task, as a stream of
+    sorted numbers of which only the running sum is held.
     """
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, F.col(size).cast("long").alias("_s")))).alias("_all"))
-    kind = f"array<struct<{order}:{dict(rows.dtypes)[order]},batch:int>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).alias("batch"), F.array().cast(kind).alias("out"))
+    narrow = rows.select(group, order, F.col(size).cast("long").alias("_size"))
+    schema = narrow.schema[:2].add("batch", "integer")
 
-    def step(acc, r):
-        fresh = (acc["batch"] < 0) | (acc["used"] + r["_s"] > limit)
-        batch = F.when(fresh, acc["batch"] + 1).otherwise(acc["batch"])
-        used = F.when(fresh, r["_s"]).otherwise(acc["used"] + r["_s"])
-        return F.struct(used.alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(F.struct(r[order].alias(order), batch.alias("batch")))).alias("out"))
-
-    return listed.select(group, F.inline(F.aggregate("_all", start, step, lambda acc: acc["out"])))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, begun, used, number = None, False, 0, -1
+        for batch in batches:
+            out = []
+            for g, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or g != at:
+                    at, begun, used, number = g, True, 0, -1
+                if number < 0 or used + (s or 0) > limit:
+                    used, number = 0, number + 1
+                used += s or 0
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=[group, order, "batch"])
+
+    return narrow.repartition(group).sortWithinPartitions(group, order).mapInArrow(fold, schema)
 
 
 def runs(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import normalised_import
+from weftline.plans.lineage import cut
 
 # Weights of confidences, decay by hop, bonus of tests, most nodes of an answer.
 CONFIDENCE = {"high": 1.0, "medium": 0.65, "low": 0.35}
@@ -89,7 +90,8 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 2, most: int | None
     frontier = seen
     for hop in range(1, depth + 1):
         reached = frontier.join(back, "id").groupBy(F.col("from_id").alias("id")).agg(F.lit(hop).alias("hop"), F.max(F.col("conf") * F.col("_w")).alias("conf"))
-        frontier = reached.join(seen.select("id"), "id", "left_anti").select("id", "hop", "conf")
+        # without the cut each hop would compute all earlier ones again, twice
+        frontier = cut(reached.join(seen.select("id"), "id", "left_anti").select("id", "hop", "conf"))
         seen = seen.unionByName(frontier)
     out = seen.withColumn("score", F.col("conf") * F.pow(F.lit(DECAY), F.col("hop")))
     if tests is not None:
