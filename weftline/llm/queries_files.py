@@ -17,12 +17,15 @@ OLD_SHARDS, NEW_SHARDS = 16, 24
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = sharding.reshard_to_files(docs, F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)), OLD_SHARDS, NEW_SHARDS)
+    rows, moves = sharding.reshard(docs, F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)), OLD_SHARDS, NEW_SHARDS)
+    files = sharding.rewrite(rows, fresh_path(spark, "shards"), moves, all_shards=True)
     text = F.coalesce("text", F.lit(""))
-    return rows.select(
+    # what is asked of the texts is taken before the slots are joined, so texts aren't shuffled again
+    files = files.withColumns({"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(F.encode(text, "utf-8"))}).drop("text", "_size", "_spread")
+    return sharding.slots(files).select(
         "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
+        "size",
+        "text_crc32",
         F.lit("bytes").alias("law"),
         F.col("_shard").alias("shard"),
         F.col("_slot").alias("slot"),
