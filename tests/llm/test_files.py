@@ -8,10 +8,31 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import imatch, queries_files, sharding, warc
+from weftline.llm import common, imatch, queries_files, sharding, warc
 from weftline.llm.common import fresh_path
 
 
+def test_intermediate_tables_can_be_deleted(spark):
+    import os
+
+    df = common.written(spark.range(3).toDF("a"), "t")
+    path = common._NAMED[-1]
+    assert df.count() == 3 and os.path.isdir(path)
+    kept, common._NAMED[:] = common._NAMED[:-1], [path]
+    common.clean_up(spark)
+    assert not os.path.exists(path) and not common._NAMED
+    common._NAMED[:] = kept
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = [(k, "hot" if k % 2 else f"k{k % 40}" if k % 5 else None) for k in range(4000)]
+    left = spark.createDataFrame(rows, "id long, key string")
+    right = left.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("most"))
+    got = {r.id: r.most for r in common.left_join_hot(left, right.where("key <> 'k4'"), "key", "n", "id").collect()}
+    most = {r.key: r.most for r in right.collect() if r.key != "k4"}
+    assert got == {i: most.get(k) for i, k in rows}
+
+
 def test_moves_are_the_fewest():
     rng = random.Random(3)
     for _ in range(30):

@@ -25,8 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found or os.path.join(tempfile.gettempdir(), f"weftline-{spark.sparkContext.applicationId}")
 
 
+#: Folders that this process has named in the shared folder.
+_NAMED: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/weftline-{tag}-{uuid.uuid4().hex}"
+    _NAMED.append(f"{shared_dir(spark).rstrip('/')}/weftline-{tag}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process; results that still read from them are then gone too."""
+    while _NAMED:
+        discard(spark, _NAMED.pop())
 
 
 def written(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -38,6 +49,28 @@ def written(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than one in so many of the rows; so there are at most so many hot keys.
+HOT_SHARE = 1000
+
+
+def left_join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+    """``left`` joined with the columns of ``right`` by ``key``, the rows of hot keys without a shuffle.
+
+    ``right`` has each key once, with the number of its rows in ``left`` as ``weight``.
+    The hot keys' rows of ``right``, at most ``HOT_SHARE`` of them, are broadcast; the
+    left rows that they serve go through the other join under a key that is equal
+    to none and is spread by ``spread``, so no task gets a hot key's rows together.
+    """
+    others = [c for c in right.columns if c not in (key, weight)]
+    total = right.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = right.where(F.col(weight) > F.lit(total / HOT_SHARE)).select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in others]).limit(HOT_SHARE)
+    cold = right.where(F.col(weight) <= F.lit(total / HOT_SHARE)).select(F.concat(F.lit("k"), key).alias("_key"), *others)
+    served = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    own = F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), F.concat(F.lit("s"), F.coalesce(F.col(spread).cast("string"), F.lit("")))).otherwise(F.concat(F.lit("k"), key))
+    joined = served.withColumn("_key", own).join(cold, "_key", "left")
+    return joined.select(*left.columns, *[F.coalesce(c, f"_hot_{c}").alias(c) for c in others])
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``fresh_path`` gave, in whichever store it is."""
     jvm = spark.sparkContext._jvm

@@ -36,8 +36,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    records = warc.read_archives(spark, path).drop("payload")
-    return warc.join_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.join_revisits(warc.read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

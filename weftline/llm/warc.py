@@ -4,7 +4,8 @@
 parses archives by their content lengths and joins each revisit record to the
 response that it refers to.
 
-Headers, not payloads, are grouped by payload digest. A payload of at least
+Headers, not payloads, are grouped by payload digest; digests that many captures share
+are joined by broadcast of those few digests. A payload of at least
 ``least_bytes`` that several captures share is stored once, in the record with the
 largest page id; the others become revisit records with fresh headers.
 
@@ -25,7 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from weftline.llm.common import left_join_hot, written
 
 END = "\r\n"
 #: What a record's date says where the caller gives none; archives are then equal from run to run.
@@ -59,9 +61,9 @@ def resolve(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
         .groupBy("payload_digest")
         .agg(F.count(F.lit(1)).alias("captures"), F.max(page).alias("kept"), F.max_by(url_col, page).alias("kept_url"))
         .where("captures > 1")
-        .drop("captures")
     )
-    joined = rows.join(shared.withColumn("shared", F.lit(True)), "payload_digest", "left")
+    shared = written(shared.withColumn("shared", F.lit(True)), "digests")
+    joined = left_join_hot(rows, shared, "payload_digest", "captures", id_col)
     revisit = F.coalesce("shared", F.lit(False)) & ~page.eqNullSafe(F.col("kept"))
     return joined.select(
         page, url_col, payload_col, "payload_digest", "payload_bytes",
@@ -159,7 +161,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def join_revisits(records: DataFrame) -> DataFrame:
-    """Records with refers_to, and in revisits the size and digest of the response's payload."""
+    """Records without payload, with refers_to, and in revisits the size and digest of the response's payload."""
+    records = written(records.drop("payload"), "records")
     kept = records.where("record_type = 'response'").select(F.col("record_id").alias("to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("kept_bytes"), F.col("payload_digest").alias("kept_digest"))
     kept = kept.groupBy("to_id").agg(F.max("refers_to").alias("refers_to"), F.max("kept_bytes").alias("kept_bytes"), F.max("kept_digest").alias("kept_digest"))
-    return records.join(kept, "to_id", "left").withColumns({"payload_bytes": F.coalesce("kept_bytes", "payload_bytes"), "payload_digest": F.coalesce("kept_digest", "payload_digest")})
+    asked = records.groupBy("to_id").agg(F.count(F.lit(1)).alias("revisits"))
+    return left_join_hot(records, kept.join(asked, "to_id"), "to_id", "revisits", "page_id").withColumns({"payload_bytes": F.coalesce("kept_bytes", "payload_bytes"), "payload_digest": F.coalesce("kept_digest", "payload_digest")})
