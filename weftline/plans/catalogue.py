@@ -169,7 +169,7 @@ CHUNKS = """WITH RECURSIVE lines AS (SELECT doc_id, source, generate_subscripts(
       UNION ALL SELECT s.doc_id, s.source, s.i, CASE WHEN used + nws > 700 THEN c + 1 ELSE c END, CASE WHEN used + nws > 700 THEN end_ + 1 ELSE start_ END, end_ + 1 + chars, CASE WHEN used + nws > 700 THEN nws ELSE used + nws END
       FROM fold f JOIN sized s ON s.doc_id = f.doc_id AND s.i = f.i + 1),
     ends AS (SELECT doc_id, max(end_) AS whole FROM fold GROUP BY doc_id),
-    chunks AS (SELECT f.doc_id, any_value(f.source) AS source, c AS chunk_index, any_value(start_) AS raw_start, max(end_) AS end_index, CASE WHEN max(end_) = any_value(whole) THEN any_value(whole) ELSE max(end_) + 1 END AS raw_end, max(used) AS nws_size FROM fold f JOIN ends USING (doc_id) GROUP BY f.doc_id, c)"""
+    chunks AS (SELECT f.doc_id, any_value(f.source) AS source, c AS chunk_index, any_value(start_) AS raw_start, max(end_)::INT AS end_index, (CASE WHEN max(end_) = any_value(whole) THEN any_value(whole) ELSE max(end_) + 1 END)::INT AS raw_end, max(used) AS nws_size FROM fold f JOIN ends USING (doc_id) GROUP BY f.doc_id, c)"""
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
