@@ -93,11 +93,17 @@ def rrf(lists: dict[str, tuple[DataFrame, float]], keys: list[str], k0: int = RR
 
 
 def hybrid(vector: DataFrame, lexical: DataFrame, keys: list[str], k0: int = RRF_K, w_vec: float = VECTOR_WEIGHT, w_lex: float = LEXICAL_WEIGHT) -> DataFrame:
-    """Fusion of both lists; where the lexical one is empty, the vector list with its own scores."""
-    fused = rrf({"vector": (vector, w_vec), "lexical": (lexical, w_lex)}, keys, k0)
-    some = lexical.agg((F.count(F.lit(1)) > 0).alias("_some"))
-    own = vector.select(*keys, F.col("score"), F.lit("vector").alias("source"))
-    return fused.crossJoin(F.broadcast(some)).where("_some").drop("_some").unionByName(own.crossJoin(F.broadcast(some)).where("not _some").drop("_some"))
+    """Fusion of both ranked lists; where the lexical one is empty, the vector list with its own scores.
+
+    Each list is computed once. Both are limited before they are ranked, so the
+    window that asks whether any row is lexical holds those few rows.
+    """
+    part = lambda rows, name, w: rows.select(*keys, (F.lit(float(w)) / (F.col("rank") + k0)).alias("part"), F.lit(name).alias("source"), F.col("score").alias("own"))
+    both = part(vector, "vector", w_vec).unionByName(part(lexical, "lexical", w_lex))
+    fused = both.groupBy(*keys).agg(F.sum("part").alias("_fused"), F.max(F.when(F.col("source") == "vector", F.col("own"))).alias("_own"), F.count_distinct("source").alias("_n"), F.min("source").alias("_source"))
+    some = F.max((F.col("_n") > 1) | (F.col("_source") == "lexical")).over(Window.partitionBy())
+    marked = fused.withColumn("_some", some)
+    return marked.select(*keys, F.when(F.col("_some"), F.col("_fused")).otherwise(F.col("_own")).alias("score"), F.when(F.col("_n") > 1, "both").otherwise(F.col("_source")).alias("source"))
 
 
 def per_group_cap(rows: DataFrame, group: str, cap: int, *order) -> DataFrame:
