@@ -1,6 +1,7 @@
 """Toxicity, personal data and licences."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -177,6 +178,49 @@ def test_licence_query_against_brute_force(spark, data):
                 assert r.dice == pytest.approx(best)
 
 
+def brute_best(text, template):
+    """The best Dice of any run of words, by running sets."""
+    w, v = (re.findall(r"\w+", x.lower()) for x in (template, text))
+    own, grams, best = set(zip(w, w[1:])), list(zip(v, v[1:])), 0.0
+    for a in range(len(grams)):
+        held, common = set(), 0
+        for g in grams[a:]:
+            if g not in held:
+                held.add(g)
+                common += g in own
+            best = max(best, 2 * common / (len(own) + len(held)))
+    return best
+
+
+def cut_and_mixed_copies():
+    """Long templates cut short or mixed with other words, prose with everyday bigrams behind them."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join("in the" if rng.random() < 0.04 else f"w{rng.randrange(900)}" for _ in range(n))
+    mit = licences.TEMPLATES["MIT"].split()
+    yield "MIT", " ".join(mit[: len(mit) * 3 // 4]) + " " + " ".join(f"v{k}" for k in range(14)) + " in the " + prose(150)
+    for name, t in licences.TEMPLATES.items():
+        words = t.split()
+        if len(words) < 40:
+            continue
+        for share in (0.7, 0.75, 0.9):
+            yield name, prose(60) + " " + " ".join(words[: int(len(words) * share)]) + " " + prose(200)
+        for block in (9, 20, 40):
+            mixed = [w for k in range(0, len(words), block) for w in (*words[k : k + block], *[f"x{rng.randrange(900)}" for _ in range(block * 2 // 5)])]
+            yield name, prose(30) + " " + " ".join(mixed) + " " + prose(150)
+        yield name, " ".join(words) + " same words" * 300 + " " + " ".join(words)
+    half = len(mit) // 2
+    yield "MIT", " ".join(mit[:half]) + " filler text" * 200 + " " + " ".join(mit[half:])
+
+
+def test_passages_of_long_templates_against_brute_force():
+    for name, text in cut_and_mixed_copies():
+        best = brute_best(text, licences.TEMPLATES[name])
+        found, dice, first, n = licences.Scanner({name: licences.TEMPLATES[name]}, 0.8).scan(text)
+        assert (found == name) == (best >= 0.8) and (not found or dice == pytest.approx(best)), (name, best, dice)
+        if found:
+            assert brute_best(" ".join(re.findall(r"\w+", text)[first : first + n]), licences.TEMPLATES[name]) == pytest.approx(dice)
+
+
 def test_held_out_rows(spark):
     got = spark.createDataFrame([(k,) for k in range(50)], "doc_id long").select("doc_id", queries_labels.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)

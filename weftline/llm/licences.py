@@ -1,13 +1,14 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Text is lower-cased and cut into words; the words around which a template's bigrams
-occur form passages, and the best passage's bigram set is compared with the
-template's. Size bounds prune: a passage of which fewer than t / (2 - t) of the
-template's bigrams occur anywhere cannot reach Dice t, nor can one longer than
-(2 - t) / t times the template.
+Text is lower-cased and cut into words; of all passages between two of a template's
+bigrams, the one whose bigram set is most like the template's counts. Size bounds
+prune: where fewer than t / (2 - t) of the template's bigrams occur no passage can
+reach Dice t, nor can one with more distinct bigrams than (2 - t) / t times the
+template's.
 
 Defined cases: a null or empty text has no licence; of equally similar templates the
-larger counts, then the first by name; a text of any length is scanned whole; rows
+larger counts, then the first by name; of equally similar passages the first counts,
+with the words around it whose bigrams it already holds; a text of any length is scanned whole; rows
 that repeat give rows that repeat; other columns are dropped.
 """
 
@@ -84,32 +85,72 @@ class Scanner:
             return None, 0.0, 0, 0
         found = at[hits]
         best = (0.0, 0, None, 0, 0)
+        before = after = code = None
         for name, own in self.sets.items():
             size = len(own)
-            mine = hits[self.member[name][found]]
-            need = self.least / (2 - self.least) * size
-            if len(mine) < need or len(np.unique(grams[mine])) < need:
+            need = self.least / (2 - self.least) * size - 1e-9
+            mine = self.member[name][found]
+            if mine.sum() < need or len(np.unique(at[hits[mine]])) < need:
                 continue  # too few of the template's bigrams occur
-            most = int((2 - self.least) / self.least * size)
-            for first, last in self._passages(mine, size, most, need):
-                passage = np.unique(grams[first : last + 1])
-                common = np.isin(passage, own, assume_unique=True).sum()
-                dice = 2.0 * common / (size + len(passage))
+            if before is None:
+                before, after, code = self._neighbours(grams)
+            own_at = np.zeros(len(grams), dtype=bool)
+            own_at[hits[mine]] = True
+            most = int((2 - self.least) / self.least * size + 1e-9)
+            for dice, first, last in self._passages(own_at, before, after, size, most, need):
                 if dice >= self.least and (dice, size) > best[:2]:
-                    best = (float(dice), size, name, int(first), int(last - first + 2))
+                    first, last = self._widened(code, first, last)
+                    best = (dice, size, name, first, last - first + 2)
         return best[2], best[0], best[3], best[4]
 
     @staticmethod
-    def _passages(mine: np.ndarray, size: int, most: int, need: float):
-        """(first, last) bigram of passages that start and end at a hit and hold enough of them; nested ones once."""
-        ends = np.searchsorted(mine, mine + most, side="left") - 1
-        near = np.searchsorted(mine, mine + size, side="left") - 1
-        seen = set()
-        for k in range(len(mine)):
-            for e in {int(ends[k]), int(near[k])}:
-                if e - k + 1 >= need and (k, e) not in seen:
-                    seen.add((k, e))
-                    yield mine[k], mine[e]
+    def _neighbours(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each bigram occurs before (-1 if nowhere) and next (the end if nowhere), and a number for each distinct one."""
+        n = len(grams)
+        order = np.argsort(grams, kind="stable")
+        same = grams[order[1:]] == grams[order[:-1]]
+        before, after, code = np.full(n, -1), np.full(n, n), np.empty(n, dtype=np.int64)
+        before[order[1:][same]] = order[:-1][same]
+        after[order[:-1][same]] = order[1:][same]
+        code[order] = np.cumsum(np.concatenate(([0], ~same)))
+        return before, after, code
+
+    @staticmethod
+    def _passages(own_at: np.ndarray, before: np.ndarray, after: np.ndarray, size: int, most: int, need: float):
+        """(Dice, first, last bigram) of the best passage from each start.
+
+        A best passage starts and ends at a hit. Its first bigram needn't occur in it
+        again, as it would hold the same set without the first place, so the starts of
+        one bigram share the text between them. Every end up to ``most`` distinct
+        bigrams is tried by running counts.
+        """
+        starts = np.flatnonzero(own_at)
+        n_hits = np.concatenate(([0], np.cumsum(own_at)))
+        for s in starts.tolist():
+            stop, width = int(after[s]), 2 * most
+            while n_hits[min(stop, s + width)] - n_hits[s] >= need or s + width < stop:
+                end = min(stop, s + width)
+                new = before[s:end] < s
+                distinct = np.cumsum(new)
+                if distinct[-1] <= most and end < stop:
+                    width *= 2
+                    continue
+                common = np.cumsum(new & own_at[s:end])
+                if common[-1] >= need:
+                    dice = 2.0 * common / (size + distinct)
+                    e = int(dice.argmax())
+                    yield float(dice[e]), s, s + e
+                break
+
+    @staticmethod
+    def _widened(code: np.ndarray, first: int, last: int) -> tuple[int, int]:
+        """The passage with the bigrams around it that it already holds."""
+        held = set(code[first : last + 1].tolist())
+        while first and int(code[first - 1]) in held:
+            first -= 1
+        while last + 1 < len(code) and int(code[last + 1]) in held:
+            last += 1
+        return first, last
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
