@@ -150,6 +150,20 @@ def test_frequencies_count_every_document(spark):
     assert imatch.document_frequencies(docs.limit(0))[0] == 0
 
 
+@pytest.mark.parametrize("most", [None, 500])
+def test_lexicon_is_exact_for_many_terms(spark, monkeypatch, most):
+    if most:
+        monkeypatch.setattr(imatch, "MOST_TERMS", most)
+    # 200 000 terms of one document each, 300 of two, one of all
+    rows = [(k, " ".join(["all", *[f"only{k}x{j}" for j in range(5000)], *[f"pair{k // 2}x{j}" for j in range(15)]])) for k in range(40)]
+    n, freq = imatch.document_frequencies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = {int(imatch.distinct_terms(f"pair{p}x{j}")[0]) for p in range(20) for j in range(15)}
+    got = imatch.lexicon(n, freq)
+    assert n == 40 and got.tolist() == sorted(want)
+    own = imatch.Fingerprints(got)
+    assert own.of(rows[0][1]) == own.of(rows[0][1] + " unique") == own.of(rows[1][1]) != own.of(rows[2][1])
+
+
 @pytest.mark.parametrize("rows", [[], [(5, "only one")], [(1, None), (2, ""), (3, "!!"), (3, "!!"), (None, "n"), (9, "x " * 20000), (7, "tie a"), (7, "tie b")]])
 def test_imatch_of_odd_rows(spark, tmp_path, rows):
     spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))

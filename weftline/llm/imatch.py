@@ -1,8 +1,8 @@
 """I-Match fingerprints over randomised lexicons.
 
-Terms are lower-cased word runs. Their document frequencies are counted over all
-documents in a table of fixed size, indexed by a hash of the term; the lexicon is
-the band of inverse document frequencies between two bounds. A fingerprint holds
+Terms are lower-cased word runs. The document frequency of each, by its 64-bit hash,
+is counted over all documents; the lexicon is the terms with inverse document
+frequencies between two bounds. A fingerprint holds
 one signature for each randomised subset of the lexicon: the hash of the sorted,
 distinct terms that the subset keeps. Subsets keep from all terms down to one in
 1024, so that texts of any length have subsets in which few terms decide.
@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 from weftline.llm.bpe import Remembered
 from weftline.llm.common import texts
 
-#: Slots of the frequency table (4 MB of counts), least and most document share of a term in the band.
-SLOTS, LEAST_DOCS, MOST_SHARE = 1 << 20, 2, 0.1
-CHUNK = 1 << 13
+#: Least documents and most document share of a term in the band.
+LEAST_DOCS, MOST_SHARE = 2, 0.1
+#: Terms that a counting task holds, and rows of a batch that it sends.
+MOST_TERMS, CHUNK = 1 << 20, 1 << 16
 #: Each subset keeps one term in so many; several subsets have the same rate.
 KEEPS = [rate for rate, subsets in ((1, 1), (2, 1), (4, 1), (8, 2), (16, 4), (32, 6), (64, 8), (128, 10), (256, 8), (512, 5), (1024, 5)) for _ in range(subsets)]
 WORD = re.compile(r"\w+")
@@ -55,70 +56,89 @@ def distinct_terms(text: str) -> np.ndarray:
 
 
 def _slots(terms: np.ndarray) -> np.ndarray:
-    return (terms >> np.uint64(44)).astype(np.int64)
+    """The terms as Spark's signed 64-bit numbers."""
+    return terms.view(np.int64)
 
 
-def document_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, np.ndarray]:
-    """Number of documents, and of documents with a term in each slot; every document counts.
+class Frequencies:
+    """Document frequencies by term; the counts stay in Spark, and asking for one is a query."""
 
-    Tasks send compressed blocks of their counts; summing tasks stream them, so a
-    task holds one block of counts whatever the number of documents.
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+
+    def __getitem__(self, term: int) -> int:
+        found = self.counts.where(F.col("term") == term).first()
+        return found["n"] if found else 0
+
+
+def document_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, Frequencies]:
+    """Number of documents, and of documents with each term; every document and every term counts.
+
+    Tasks add up terms before the shuffle and send what they have whenever that is
+    ``MOST_TERMS`` terms, so a task's memory doesn't grow with the vocabulary.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        terms, n, waiting, size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], 0
 
-        total, n = np.zeros(SLOTS, dtype=np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for t in batch.column(0).to_pylist():
-                total[np.unique(_slots(distinct_terms(t)))] += 1
-        if n:
-            pack = zstandard.ZstdCompressor(level=1).compress
-            blocks = [pack(total[k : k + CHUNK].tobytes()) for k in range(0, SLOTS, CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(blocks))], pa.int32()), pa.array([pack(np.array([n], dtype=np.int64).tobytes()), *blocks], pa.binary())], names=["part", "counts"])
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate([terms, *waiting])
+            weights = np.concatenate([n, np.ones(len(every) - len(n), dtype=np.int64)])
+            order = np.argsort(every)
+            every, weights = every[order], weights[order]
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            return every[first], np.add.reduceat(weights, first)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        def sent() -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(terms), CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array(_slots(terms[k : k + CHUNK])), pa.array(n[k : k + CHUNK])], names=["term", "n"])
 
-        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), dtype=np.int64)
-                sums[part] = sums[part] + own if part in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
-
-    schema = "part int, counts binary"
-    parts = texts(docs, id_col, text_col).select(text_col).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
-    n, total = 0, np.zeros(SLOTS, dtype=np.int64)
-    for part, counts in parts.collect():  # 8 bytes a slot, whatever the number of documents
-        own = np.frombuffer(counts, dtype=np.int64)
-        if part < 0:
-            n = int(own[0])
-        else:
-            total[part * CHUNK : part * CHUNK + len(own)] = own
-    return n, total
-
-
-def lexicon(n_docs: int, frequencies: np.ndarray, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> bytes:
-    """Bitmap of the slots whose inverse document frequency lies in the band."""
-    idf = np.log(max(n_docs, 1) / np.maximum(frequencies, 1))
-    band = (frequencies > 0) & (idf >= -math.log(most_share)) & (idf <= math.log(max(n_docs, 1) / least_docs))
-    return np.packbits(band).tobytes()
+            for t in batch.column(0).to_pylist():
+                waiting.append(distinct_terms(t))
+                size += len(waiting[-1])
+                if size > MOST_TERMS:
+                    terms, n = added()
+                    waiting, size = [], 0
+                    if len(terms) > MOST_TERMS:
+                        yield from sent()
+                        terms, n = terms[:0], n[:0]
+        if size:
+            terms, n = added()
+        yield from sent()
+
+    rows = texts(docs, id_col, text_col)
+    parts = rows.select(text_col).mapInArrow(count, "term long, n long")
+    return rows.count(), Frequencies(parts.groupBy("term").agg(F.sum("n").alias("n")))
+
+
+def lexicon(n_docs: int, frequencies: Frequencies, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> np.ndarray:
+    """Sorted terms whose document frequency, and so its inverse, lies in the band: 8 bytes a term on the driver."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([terms.tobytes()], pa.binary())], names=["terms"])
+
+    band = frequencies.counts.where(F.col("n").between(least_docs, math.floor(most_share * n_docs + 1e-9))).select("term")
+    found = [np.frombuffer(r[0], dtype=np.uint64) for r in band.mapInArrow(packed, "terms binary").collect()]
+    return np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *found]))
 
 
 class Fingerprints:
     """Fingerprints of texts under one lexicon."""
 
-    def __init__(self, bitmap: bytes):
-        self.band = np.unpackbits(np.frombuffer(bitmap, dtype=np.uint8)).astype(bool)
+    def __init__(self, band: np.ndarray):
+        self.band = band
         rng = np.random.default_rng(7)
         self.factors = (rng.integers(1, 2**63, len(KEEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
         self.limits = np.array([2**32 // k for k in KEEPS], dtype=np.uint64)[:, None]
 
     def of(self, text: str) -> str:
         terms = distinct_terms(text)
-        inside = terms[self.band[_slots(terms)]] if len(terms) else terms
+        inside = terms
+        if len(terms) and len(self.band):
+            inside = terms[self.band[np.minimum(np.searchsorted(self.band, terms), len(self.band) - 1)] == terms]
         if len(inside):
             terms = inside
         if not len(terms):
@@ -136,11 +156,13 @@ def likeness(a: str, b: str) -> float:
     return sum(live) / len(live) if live else float(a == b)
 
 
-def fingerprint(docs: DataFrame, bitmap: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, band: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) of each document under a lexicon; no shuffle."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(band)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Fingerprints(bitmap)
+        own = Fingerprints(sent.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.of(t) for t in batch.column(1).to_pylist()], pa.string())], names=[id_col, "fingerprint"])
 

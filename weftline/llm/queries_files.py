@@ -42,10 +42,10 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_docs, frequencies = imatch.document_frequencies(docs)
-    bitmap = imatch.lexicon(n_docs, frequencies)
+    band = spark.sparkContext.broadcast(imatch.lexicon(n_docs, frequencies))
 
     def make():
-        own = imatch.Fingerprints(bitmap)
+        own = imatch.Fingerprints(band.value)
         known: list = [None, None]  # the next document's fingerprint serves when its own turn comes
 
         def row(doc_id, text: str, after: str) -> dict:
