@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,6 +81,37 @@ def test_budget(spark, budget, want):
     assert got == want
 
 
+def brute_packed(rows, per_file, budget):
+    files = {}
+    for f, a, b, s in rows:
+        files.setdefault(f, []).append((-s, a, b))
+    top = {f: sorted(x)[:per_file] for f, x in files.items()}
+    used, out = 0, []
+    for f in sorted(top, key=lambda f: (top[f][0][0], f)):
+        for _, a, b in sorted(top[f], key=lambda x: x[1]):
+            if used >= budget or used + b - a > budget:
+                break
+            used += b - a
+            out.append((f, a))
+    return out
+
+
+@pytest.mark.parametrize("round_of", [1, 7, 10_000])
+def test_budget_looks_at_every_file(spark, round_of):
+    rng = random.Random(round_of)
+    rows = [(f"f{k:03}", a, a + rng.choice([0, 0, 3, 8, 20, 40]), rng.choice([0.1, 0.2, 0.9])) for k in range(60) for a in (0, 50, 100, 150)]
+    given = spark.createDataFrame(rows, "file_path string, raw_start int, raw_end int, score double").repartition(5)
+    for budget in (0, 1, 45, 130):
+        got = [(r.file_path, r.raw_start) for r in context.packed(given, 3, budget, most_segments=round_of).collect()]
+        assert got == brute_packed(rows, 3, budget)
+
+
+def test_budget_with_more_files_than_characters(spark):
+    rows = [(f"f{k:05}", 0, 40, 0.5) for k in range(10_500)] + [("last", 0, 3, 0.1), ("last", 3, 3, 0.05)]
+    got = context.packed(spark.createDataFrame(rows, "file_path string, raw_start int, raw_end int, score double"), 3, 43).collect()
+    assert [(r.file_path, r.raw_start) for r in got] == [("f00000", 0), ("last", 0)]
+
+
 @pytest.mark.parametrize("sizes,limit,want", [([3, 2, 4, 1], 5, [0, 0, 1, 1]), ([500, 3], 50, [0, 1]), ([], 5, [])])
 def test_greedy_batches(spark, sizes, limit, want):
     rows = spark.createDataFrame([("g", k, s) for k, s in enumerate(sizes)], "g string, k int, s int")

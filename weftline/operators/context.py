@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.text import line_of, parent_prefix
+from weftline.llm.common import written
 from weftline.operators.retrieval import per_group_cap
 
 # Score decays of the expansions.
@@ -97,28 +99,54 @@ def packed(segments: DataFrame, per_file: int = 3, budget: int = 48_000, file: s
     """Segments within a budget of characters, best files first.
 
     A file's best ``per_file`` segments go in order of position until one is too
-    long; the next file goes on with what is left. The fold reads the ``most_segments``
-    best-ranked rows in one task; as each takes at least a character, a budget up to
-    that many characters can't need more.
+    long; the next file goes on with what is left. The files of which something could
+    still fit are read in rounds of ``most_segments`` at most, until nothing is left
+    of the budget or no such file is; the driver holds one round and the files that
+    took a character, at most as many as the budget has.
     """
     top = per_group_cap(segments, file, per_file, F.col("score").desc(), "raw_start")
+    # ascending in the order of files: null scores last, as in a descending order
     best = F.max("score").over(Window.partitionBy(file))
-    rows = top.withColumns({"_best": best, "_size": F.col("raw_end") - F.col("raw_start")}).orderBy(F.col("_best").desc(), file, "raw_start").limit(max(most_segments, budget))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used, at, stopped = 0, None, False
-        for batch in batches:
-            keep = []
-            for path, size in zip(batch.column(file).to_pylist(), batch.column("_size").to_pylist(), strict=True):
-                if path != at:
-                    at, stopped = path, False
-                fits = used < budget and not stopped and used + size <= budget
-                stopped = stopped or not fits
-                used += size if fits else 0
-                keep.append(fits)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return rows.coalesce(1).sortWithinPartitions(F.col("_best").desc(), file, "raw_start").mapInArrow(fold, rows.schema).drop("_best", "_size")
+    in_file = Window.partitionBy(file).orderBy("raw_start", "raw_end")
+    rows = top.withColumns({"_best": best, "_n": F.row_number().over(in_file), "_size": (F.col("raw_end") - F.col("raw_start")).cast("long")})
+    rows = rows.withColumns({"_place": F.struct(F.col("_best").isNull().alias("a"), (-F.col("_best")).alias("b"), F.col(file).alias("c")), "_sum": F.sum("_size").over(in_file.rowsBetween(Window.unboundedPreceding, 0))}).drop("_best")
+    rows = written(rows, "ranked")
+    # what a file takes at least if it takes a character; a file's empty segments before that always fit
+    least = rows.where("_sum > 0").groupBy("_place").agg(F.min("_sum").alias("_least"))
+    sums = rows.where("_sum > 0").select("_place", "_n", "_sum").join(least, "_place")
+
+    left, place, chosen, end = budget, None, [], None
+    while left > 0:
+        fits = sums.where((F.col("_least") <= left) & (F.col("_sum") <= left))
+        if place is not None:
+            fits = fits.where(F.col("_place") > place)
+        files = fits.groupBy("_place").agg(F.sort_array(F.collect_list(F.struct("_n", "_sum"))).alias("s")).orderBy("_place").limit(most_segments).collect()
+        for r in files:
+            before, taken = 0, 0
+            for n, total in r["s"]:
+                if total > left or before >= left:
+                    break
+                before, taken = total, n
+            if taken:
+                chosen.append((r["_place"], taken))
+                left -= before
+            if left <= 0:
+                end = r["_place"]
+                break
+        if len(files) < most_segments:
+            break
+        place = _literal(files[-1]["_place"], rows.schema["_place"].dataType)
+
+    kind = T.StructType([rows.schema["_place"], T.StructField("_taken", T.IntegerType())])
+    taken = F.broadcast(rows.sparkSession.createDataFrame(chosen, kind).withColumnRenamed("_place", "_chosen"))
+    if end is not None:
+        rows = rows.where(F.col("_place") <= _literal(end, rows.schema["_place"].dataType))
+    kept = rows.join(taken, F.col("_place").eqNullSafe(F.col("_chosen")), "left").where((F.col("_n") <= F.col("_taken")) | (F.col("_sum") == 0) & F.lit(budget > 0))
+    return kept.orderBy("_place", "_n").select(segments.columns)
+
+
+def _literal(row: Row, kind: T.StructType) -> Column:
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind, strict=True)])
 
 
 def greedy_batches(rows: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:

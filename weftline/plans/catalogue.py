@@ -240,7 +240,7 @@ def interval_merge_pack(spark: SparkSession, sf: str) -> DataFrame:
 )
 def context_budget(spark: SparkSession, sf: str) -> DataFrame:
     rows = _chunks(spark, sf).withColumn("score", 1.0 / (1 + F.col("chunk_index")))
-    return context.packed(rows, 3, 48_000, "doc_id").select("doc_id", "chunk_index")
+    return context.packed(rows.select("doc_id", "chunk_index", "raw_start", "raw_end", "score"), 3, 48_000, "doc_id").select("doc_id", "chunk_index")
 
 
 @query("WITH n AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT conv_id, role, min(turn) AS run_start, max(turn) AS run_end, count(*) AS n FROM r GROUP BY conv_id, run, role")
