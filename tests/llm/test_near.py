@@ -76,6 +76,19 @@ def test_split_buckets_lose_nothing(spark, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("grams", [300, 4000])
+def test_empty_blocks_count_nothing_twice(spark, monkeypatch, grams):
+    monkeypatch.setattr(near, "BLOCK_GRAMS", grams)
+    rng = random.Random(5)
+    rows = []
+    for copies in (2, 2, 2, 3, 5):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        for k in range(copies):
+            rows.append((len(rows), " ".join([*base[: 700 + k], "edited", *base[701 + k :]])))
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_join_query(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in queries_near.op10_ngram_join(spark, data).collect()}

@@ -107,17 +107,17 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
 
 def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell; a cell is a pair of blocks of one bucket, or one block with itself."""
-    cell, rows = None, []
+    cell, rows = (None, None, None), []
     for batch in batches:
         out: list[tuple] = []
         for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high", "block", "band", "set_hash", "bands", "grams")), strict=True):
             if row[:3] != cell:
-                out += _verified(rows, similarity)
+                out += _verified(rows, similarity, two=cell[1] != cell[2])
                 cell, rows = row[:3], []
             rows.append(row[3:])
         if out:
             yield _links(out)
-    if rows and (out := _verified(rows, similarity)):
+    if rows and (out := _verified(rows, similarity, two=cell[1] != cell[2])):
         yield _links(out)
 
 
@@ -125,12 +125,14 @@ def _links(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64())], names=["set_hash", "root", "n_links"])
 
 
-def _verified(rows: list[tuple], similarity: float) -> list[tuple]:
-    """(set_hash, root, number of partners) of each row with a verified partner, over the pairs that this cell answers for."""
+def _verified(rows: list[tuple], similarity: float, two: bool) -> list[tuple]:
+    """(set_hash, root, number of partners) of each row with a verified partner, over the pairs that this cell answers for: with ``two`` those across its two blocks."""
     if len(rows) < 2:
         return []
     rows.sort(key=lambda r: (r[0], r[2]))
     block = np.array([r[0] for r in rows])
+    if two and block[0] == block[-1]:
+        return []  # the other block is empty, and the pairs inside this one are its own cell's
     band = rows[0][1]
     keys = np.array([r[3] for r in rows], dtype=np.int64)
     sets = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
@@ -154,7 +156,6 @@ def _verified(rows: list[tuple], similarity: float) -> list[tuple]:
             x = parent[x]
         return x
 
-    two = block[0] != block[-1]
     for i in range(len(rows) - 1):
         mine = row_columns[row_ends[i] : row_ends[i + 1]]
         if not len(mine):
