@@ -13,8 +13,9 @@ Patterns take time in proportion to the text: repeats that nothing can follow ar
 possessive, and a run can only be entered at its start.
 
 Defined cases: a null text is the empty text, without spans; offsets are code
-points, ends exclusive; spans of different base kinds may overlap; without any
-candidate the trees are empty and nothing joins; other columns are kept by
+points, ends exclusive; spans of different base kinds may overlap; with fewer than
+``LEAST`` candidates labelled right, or as few labelled wrong, the trees are empty and
+no ``secret`` or ``other`` span joins; other columns are kept by
 ``redact``, whatever their names, while ``all_spans`` replaces those that bear the
 names of its own.
 """
