@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.text import line_of, parent_prefix
-from weftline.llm.common import written
 from weftline.operators.retrieval import per_group_cap
+from weftline.plans.lineage import written
 
 # Score decays of the expansions.
 NEIGHBOUR, BREADCRUMB, IMPORT, DEPTH = 0.8, 0.7, 0.6, 0.7

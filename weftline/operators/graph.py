@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import normalised_import
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import written
 
 # Weights of confidences, decay by hop, bonus of tests, most nodes of an answer.
 CONFIDENCE = {"high": 1.0, "medium": 0.65, "low": 0.35}
@@ -85,13 +85,13 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 2, most: int | None
     if not 1 <= depth <= 10:
         raise ValueError("depth lies between 1 and 10")
     weight = reduce(lambda acc, c: acc.when(F.col("confidence") == c, CONFIDENCE[c]), CONFIDENCE, F.when(F.lit(False), 0.0)).otherwise(CONFIDENCE["low"])
-    back = edges.where("from_id <> to_id").groupBy(F.col("to_id").alias("id"), "from_id").agg(F.max(weight).alias("_w"))
+    back = written(edges.where("from_id <> to_id").groupBy(F.col("to_id").alias("id"), "from_id").agg(F.max(weight).alias("_w")), "back")
     seen = starts.select("id").distinct().withColumns({"hop": F.lit(0), "conf": F.lit(1.0)})
     frontier = seen
     for hop in range(1, depth + 1):
         reached = frontier.join(back, "id").groupBy(F.col("from_id").alias("id")).agg(F.lit(hop).alias("hop"), F.max(F.col("conf") * F.col("_w")).alias("conf"))
         # without the cut each hop would compute all earlier ones again, twice
-        frontier = cut(reached.join(seen.select("id"), "id", "left_anti").select("id", "hop", "conf"))
+        frontier = written(reached.join(seen.select("id"), "id", "left_anti").select("id", "hop", "conf"), "frontier")
         seen = seen.unionByName(frontier)
     out = seen.withColumn("score", F.col("conf") * F.pow(F.lit(DECAY), F.col("hop")))
     if tests is not None:

@@ -1,20 +1,60 @@
-"""Cutting lineage in iterative plans."""
+"""Cutting lineage by tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none, as in a local test, a temporary folder serves.
+    Only where a session of one machine names none, as in a local test, a temporary
+    folder serves; a cluster has to name one.
     """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return found or os.path.join(tempfile.gettempdir(), f"weftline-{spark.sparkContext.applicationId}")
+
+
+#: Folders that this process has named in the shared folder and not deleted.
+_NAMED: list[str] = []
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    _NAMED.append(f"{shared_dir(spark).rstrip('/')}/weftline-{tag}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def named() -> list[str]:
+    """The folders named so far, oldest first."""
+    return list(_NAMED)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh_path`` gave, in whichever store it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _NAMED:
+        _NAMED.remove(path)
+
+
+def clean_up(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate tables of this process but for ``keep``; results that still read from them are then gone too."""
+    for path in named():
+        if path not in keep:
+            discard(spark, path)
+
+
+def written(df: DataFrame, tag: str = "cut", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, its lineage cut."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), f"weftline-{spark.sparkContext.applicationId}"))
-    return df.checkpoint()
+    path = fresh_path(spark, tag)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
