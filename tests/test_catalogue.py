@@ -7,7 +7,7 @@ from weftline.plans import catalogue
 
 def shown(rows, columns):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
-    return sorted(tuple(f"{v:.5g}" if isinstance(v, float) else str(v) for v in (r[k] for k in order)) for r in rows)
+    return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in (r[k] for k in order)) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))

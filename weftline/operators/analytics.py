@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import file_stem, half_up, jaccard, word_tokens
@@ -61,26 +61,41 @@ def top_files(signals: DataFrame, limit: int = 10) -> DataFrame:
     return got.orderBy(F.col("weight").desc(), F.col("hits").desc(), "file_path").limit(limit)
 
 
+#: Cost is counted in whole billionths of a dollar, so that sums do not depend on the order of adding.
+NANO = 1e9
+
+
 def prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, i, o) for m, (i, o) in PRICES.items()], "model string, input_rate double, output_rate double")
+    """Price list: billionths of a dollar for a token."""
+    nano = lambda rate: round(rate * NANO / 1_000_000)
+    return spark.createDataFrame([(m, nano(i), nano(o)) for m, (i, o) in PRICES.items()], "model string, input_rate long, output_rate long")
 
 
 def with_cost(rows: DataFrame, tokens: str, kind: str = "input", model: str = "model", out: str = "cost") -> DataFrame:
-    """Dollars of tokens by the model's price, 0 for a model without one; the price list has a few rows."""
+    """Dollars of tokens by the model's price, and ``{out}_nano``, the same in whole billionths; 0 for a model without a price.
+
+    The price list has a few rows.
+    """
     rate = prices(rows.sparkSession).select(F.col("model").alias("_model"), F.col(f"{kind}_rate").alias("_rate"))
     joined = rows.join(F.broadcast(rate), F.lower(F.trim(model)) == F.col("_model"), "left")
-    return joined.withColumn(out, F.col(tokens) / 1e6 * F.coalesce("_rate", F.lit(0.0))).drop("_model", "_rate")
+    nano = F.col(tokens) * F.coalesce("_rate", F.lit(0).cast("long"))
+    return joined.withColumns({f"{out}_nano": nano, out: nano / NANO}).drop("_model", "_rate")
+
+
+def dollars(column: str = "dollars_saved") -> Column:
+    """Sum of a cost column, exact: by its billionths."""
+    return F.coalesce(F.sum(f"{column}_nano"), F.lit(0).cast("long")) / NANO
 
 
 def savings_summary(ledger: DataFrame) -> DataFrame:
     return ledger.agg(
-        F.coalesce(F.sum("tokens_saved"), F.lit(0)).alias("tokens_saved"), F.coalesce(F.sum("dollars_saved"), F.lit(0.0)).alias("dollars_saved"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.count_distinct("session_id").alias("sessions")
+        F.coalesce(F.sum("tokens_saved"), F.lit(0)).alias("tokens_saved"), dollars().alias("dollars_saved"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.count_distinct("session_id").alias("sessions")
     )
 
 
 def savings_by(ledger: DataFrame, column: str) -> DataFrame:
     """Sums by a column with the whole-number share of all tokens; the share is taken over the few grouped rows."""
-    got = ledger.groupBy(column).agg(F.sum("tokens_saved").alias("tokens_saved"), F.sum("dollars_saved").alias("dollars_saved"), F.count(F.lit(1)).alias("queries"))
+    got = ledger.groupBy(column).agg(F.sum("tokens_saved").alias("tokens_saved"), dollars().alias("dollars_saved"), F.count(F.lit(1)).alias("queries"))
     total = F.sum("tokens_saved").over(Window.partitionBy())
     return got.withColumn("percentage", F.when(total > 0, half_up(F.col("tokens_saved") / total * 100)).otherwise(F.lit(0).cast("long")))
 
@@ -94,7 +109,7 @@ def sessions_with_counts(sessions: DataFrame, ledger: DataFrame, limit: int | No
 
 def ended_sessions(sessions: DataFrame, ledger: DataFrame, now_ms: int) -> DataFrame:
     """``sessions`` with ended_at and the sums of their ledger rows, 0 where there are none."""
-    sums = ledger.groupBy("session_id").agg(F.sum("tokens_saved").alias("total_tokens_saved"), F.sum("dollars_saved").alias("total_dollars_saved"))
+    sums = ledger.groupBy("session_id").agg(F.sum("tokens_saved").alias("total_tokens_saved"), dollars().alias("total_dollars_saved"))
     out = sessions.join(sums, "session_id", "left").withColumn("ended_at", F.lit(now_ms).cast("long"))
     return out.withColumns({"total_tokens_saved": F.coalesce("total_tokens_saved", F.lit(0)), "total_dollars_saved": F.coalesce("total_dollars_saved", F.lit(0.0))})
 

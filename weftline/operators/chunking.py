@@ -5,38 +5,60 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.functions.text import nws, symbol_tokens
+from weftline.functions.text import symbol_tokens
 
 # Largest and least size of a chunk and overlap, in non-space characters, by profile.
 PROFILES = {"quality": (500, 50, 40), "balanced": (700, 100, 32), "performance": (900, 120, 24)}
 
 
-def line_chunks(files: DataFrame, most: int = 700, content: str = "content") -> DataFrame:
+def line_chunks(files: DataFrame, most: int = 700, content: str = "content", keep: tuple[str, ...] | None = None) -> DataFrame:
     """One row per chunk of consecutive lines with at most ``most`` non-space characters, a longer line alone.
 
-    chunk_index, start_index, end_index (of the text), raw_start, raw_end (gapless),
-    nws_size. A fold over the lines of each file; files stay where they are.
+    The columns ``keep`` (all where none are named), then chunk_index, start_index,
+    end_index (of the text), raw_start, raw_end (gapless) and nws_size. Files stay
+    where they are; each takes time and memory in proportion to its length. A null
+    text has no chunk.
     """
-    lines = F.transform(F.split(F.col(content), "\n"), lambda line: F.struct(F.length(line).alias("chars"), nws(line).alias("nws")))
-    out = "array<struct<start:int,end:int,nws:int>>"
-    start = F.struct(F.lit(0).alias("from"), F.lit(-1).alias("to"), F.lit(0).alias("nws"), F.array().cast(out).alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        full = (acc["nws"] + line["nws"] > most) & (acc["to"] >= 0)
-        closed = F.concat(acc["out"], F.array(F.struct(acc["from"].alias("start"), acc["to"].alias("end"), acc["nws"].alias("nws"))))
-        begun = F.struct((acc["to"] + 1).alias("from"), (acc["to"] + 1 + line["chars"]).alias("to"), line["nws"].alias("nws"), closed.alias("out"))
-        longer = F.struct(acc["from"].alias("from"), F.when(acc["to"] < 0, line["chars"]).otherwise(acc["to"] + 1 + line["chars"]).alias("to"), (acc["nws"] + line["nws"]).alias("nws"), acc["out"].alias("out"))
-        return F.when(full, begun).otherwise(longer)
-
-    last = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["from"].alias("start"), acc["to"].alias("end"), acc["nws"].alias("nws"))))
-    found = files.where(F.col(content).isNotNull()).withColumn("_chunks", F.aggregate(lines, start, step, last))
-    rows = found.select("*", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("chunk_index", "_c")).drop("_chunks")
-    raw_end = F.when(F.col("chunk_index") == F.col("_n") - 1, F.length(content)).otherwise(F.col("_c.end") + 1)
-    return rows.select("*", F.col("_c.start").alias("start_index"), F.col("_c.end").alias("end_index"), F.col("_c.start").alias("raw_start"), raw_end.alias("raw_end"), F.col("_c.nws").alias("nws_size")).drop("_c", "_n")
+    kept = [c for c in files.columns if keep is None or c in keep]
+    own = ("chunk_index", "start_index", "end_index", "raw_start", "raw_end", "nws_size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [line_spans(t, most) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            spans = np.concatenate([np.zeros((0, 5), dtype=np.int32), *found])
+            index = np.concatenate([np.zeros(0, dtype=np.int32), *(np.arange(len(f), dtype=np.int32) for f in found)])
+            # an index of one file's chunks after the other; large kept columns are copied a file's chunks at a time
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(kept))), pa.array(index), *(pa.array(np.ascontiguousarray(spans[:, k])) for k in range(5))], names=[*kept, *own])
+
+    schema = T.StructType([*(files.schema[c] for c in kept), *(T.StructField(c, T.IntegerType()) for c in own)])
+    rows = files.where(F.col(content).isNotNull()).select(*kept, F.col(content).alias("_content"))
+    return rows.mapInArrow(run, schema)
+
+
+def line_spans(text: str, most: int) -> np.ndarray:
+    """(start, end, raw_start, raw_end, non-space size) of each chunk of a text."""
+    lines = text.split("\n")
+    chars = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    blank = np.fromiter((x.count(" ") + x.count("\t") + x.count("\r") for x in lines), dtype=np.int64, count=len(lines))
+    ends = np.cumsum(chars + 1) - 1  # of each line in the text
+    size = np.cumsum(chars - blank)
+    cuts, first, before = [], 0, 0
+    while first < len(lines):
+        last = max(first + 1, int(np.searchsorted(size, before + most, side="right")))
+        cuts.append(last - 1)
+        first, before = last, int(size[last - 1])
+    end, total = ends[cuts], size[cuts]
+    start = np.concatenate(([0], end[:-1] + 1))
+    raw_end = np.concatenate((end[:-1] + 1, [len(text)]))
+    return np.stack([start, end, start, raw_end, np.diff(total, prepend=0)], axis=1).astype(np.int32)
 
 
 def vector_text(breadcrumb: Column, code: Column) -> Column:

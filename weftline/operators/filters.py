@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import CODE_LANGUAGES, LANGUAGES
 
+# Fixed value: the shape of a field in a query.
 FIELD = r"(?i)\b(kind|lang|language|path|name):(\S+)"
 
 

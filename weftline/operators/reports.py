@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,25 +35,31 @@ def raw_blocks(seeds: DataFrame, chunks: DataFrame, files: DataFrame, top: int =
 
 
 def around_hit(text: str, tokens: list[str], most: int, head: float = 0.67) -> str:
-    """The lines around the one with most tokens, taken by turns above and below; head and tail where no line has any."""
+    """The lines around the one with most tokens, one more above and one more below in turn while they fit in ``most``.
+
+    A side that no longer fits stops, and the other goes on alone. Without any token
+    in the text, its head and tail.
+    """
     if len(text) <= most:
         return text
     lines = text.split("\n")
-    counts = [sum(t in line.lower() for t in tokens) for line in lines]
-    if not max(counts):
-        first = int(most * head)
-        last = most - first - 3
-        return text[:most] if last <= 0 else f"{text[:first]}...{text[-last:]}"
-    low = high = counts.index(max(counts))
-    size = len(lines[low])
-    grown = True
-    while grown and size < most:
-        grown = False
-        if low > 0 and size + len(lines[low - 1]) + 1 <= most:
-            low, size, grown = low - 1, size + len(lines[low - 1]) + 1, True
-        if high < len(lines) - 1 and size + len(lines[high + 1]) + 1 <= most:
-            high, size, grown = high + 1, size + len(lines[high + 1]) + 1, True
-    return ("..." if low else "") + "\n".join(lines[low : high + 1]) + ("..." if high < len(lines) - 1 else "")
+    hits = [sum(t in line for t in tokens) for line in text.lower().split("\n")]
+    if not any(hits):
+        tail = most - int(most * head) - 3
+        return text[:most] if tail <= 0 else f"{text[: int(most * head)]}...{text[-tail:]}"
+    top = bottom = max(range(len(lines)), key=hits.__getitem__)
+    left = most - len(lines[top])
+    sides = deque(["above", "below"])
+    while sides and left > 0:
+        side = sides.popleft()
+        at = top - 1 if side == "above" else bottom + 1
+        if not 0 <= at < len(lines) or len(lines[at]) + 1 > left:
+            continue
+        left -= len(lines[at]) + 1
+        top, bottom = min(top, at), max(bottom, at)
+        sides.append(side)
+    marks = ("..." if top else "", "..." if bottom + 1 < len(lines) else "")
+    return marks[0] + "\n".join(lines[top : bottom + 1]) + marks[1]
 
 
 def rerank_texts(chunks: DataFrame, tokens: list[str], most: int = 1000, most_breadcrumb: int = 250) -> DataFrame:

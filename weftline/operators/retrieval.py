@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import token_overlap
+from weftline.plans.lineage import written
 
 # Defaults of the retrieval pipeline and of its BM25 formula.
 K1, B = 1.2, 0.75
@@ -53,9 +54,12 @@ def bm25(docs: DataFrame, terms: list[str], fields: dict[str, float], every: boo
 def strict_then_relaxed(scored: DataFrame, limit: int, key: str, extra: int = 10) -> DataFrame:
     """Rows with all terms first; if they are fewer than ``limit``, the best others fill up; then by score.
 
-    One evaluation serves both tiers. The relaxed tier takes the best of all rows,
-    as many as are missing and ``extra``, so a strict row among them takes a place.
+    The relaxed tier takes the best of all rows, as many as are missing and
+    ``extra``, so a strict row among them takes a place. The rows that can count, the
+    best of each tier, are written, so ``scored`` is computed once.
     """
+    best = F.row_number().over(Window.partitionBy("matched_all").orderBy(F.col("score").desc(), key))
+    scored = written(scored.withColumn("_best", best).where(F.col("_best") <= limit + extra).drop("_best"), "tiers")
     strict = scored.where("matched_all").orderBy(F.col("score").desc(), key).limit(limit)
     missing = strict.agg((F.lit(limit) - F.count(F.lit(1))).alias("_missing"))
     order = Window.orderBy(F.col("score").desc(), key)

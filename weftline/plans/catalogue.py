@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as fx
 from weftline.operators import access, analytics, chunking, context, filters, graph, indexing, reports, retrieval
 from weftline.plans.hybrid import hybrid_search
+from weftline.plans.lineage import written
 from weftline.sources.readers import embedding_misses
 from weftline.sources.tables import files, ledger, table
 from weftline.streaming.sessions import sessions, windowed_counts
@@ -174,7 +175,7 @@ CHUNKS = """WITH RECURSIVE lines AS (SELECT doc_id, source, generate_subscripts(
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("content"))
-    return chunking.line_chunks(docs).drop("content")
+    return chunking.line_chunks(docs, keep=("doc_id", "source"))
 
 
 @query(f"{CHUNKS} SELECT doc_id, chunk_index, raw_start, end_index, raw_end, nws_size::INT AS nws_size FROM chunks")
@@ -205,7 +206,7 @@ def _seeds(chunks: DataFrame) -> DataFrame:
     SELECT doc_id, chunk_index, round(score * pow(0.8, d), 6) AS score FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY d, score DESC) = 1"""
 )
 def neighbor_expand(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _chunks(spark, sf)
+    chunks = written(_chunks(spark, sf), "chunks")
     return context.neighbours(_seeds(chunks), chunks, 2, "doc_id").select("doc_id", "chunk_index", F.round("score", 6).alias("score"))
 
 
@@ -214,18 +215,22 @@ def neighbor_expand(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, chunk_index, round(best * 0.7, 6) AS score FROM rest QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) <= 3"""
 )
 def breadcrumb_expand(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _chunks(spark, sf).withColumn("breadcrumb", F.concat_ws(" > ", "source", F.col("doc_id").cast("string"), F.concat(F.lit("chunk "), F.col("chunk_index").cast("string"))))
+    chunks = written(_chunks(spark, sf).withColumn("breadcrumb", F.concat_ws(" > ", "source", F.col("doc_id").cast("string"), F.concat(F.lit("chunk "), F.col("chunk_index").cast("string")))), "chunks")
     return context.siblings(_seeds(chunks), chunks, 3, "doc_id").select("doc_id", "chunk_index", F.round("score", 6).alias("score"))
 
 
 @query(
-    f"""{CHUNKS}, picked AS (SELECT doc_id, chunk_index, raw_start, raw_end, 1.0::DOUBLE / (1 + chunk_index) AS score FROM chunks WHERE chunk_index % 3 <> 2),
+    f"""{CHUNKS}, {SEEDS}, near AS (SELECT c.doc_id, c.chunk_index, s.score * 0.8 AS score FROM chunks c JOIN seeds s ON c.doc_id = s.doc_id AND abs(c.chunk_index - s.chunk_index) = 1), later AS (SELECT c.doc_id, c.chunk_index, s.score * 0.7 AS score FROM chunks c JOIN seeds s ON c.doc_id = s.doc_id AND c.chunk_index <> s.chunk_index QUALIFY row_number() OVER (PARTITION BY c.doc_id ORDER BY c.chunk_index) <= 4),
+    every AS (SELECT *, 0 AS step FROM seeds UNION ALL SELECT *, 1 FROM near UNION ALL SELECT *, 2 FROM later), picked AS (SELECT e.doc_id, e.chunk_index, raw_start, raw_end, score FROM every e JOIN chunks USING (doc_id, chunk_index) QUALIFY row_number() OVER (PARTITION BY e.doc_id, e.chunk_index ORDER BY step) = 1),
     f AS (SELECT *, max(raw_end) OVER (PARTITION BY doc_id ORDER BY raw_start, raw_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM picked),
     g AS (SELECT *, sum(CASE WHEN raw_start <= before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY raw_start, raw_end ROWS UNBOUNDED PRECEDING) AS island FROM f)
     SELECT doc_id, min(raw_start) AS raw_start, max(raw_end) AS raw_end, round(max(score), 6) AS score, count(*) AS n_chunks FROM g GROUP BY doc_id, island"""
 )
 def interval_merge_pack(spark: SparkSession, sf: str) -> DataFrame:
-    picked = _chunks(spark, sf).where("chunk_index % 3 <> 2").withColumns({"score": 1.0 / (1 + F.col("chunk_index")), "breadcrumb": F.col("source")})
+    chunks = written(_chunks(spark, sf).withColumn("breadcrumb", F.concat_ws(" > ", "source", F.concat(F.lit("chunk "), F.col("chunk_index").cast("string")))), "chunks")
+    seeds = _seeds(chunks)
+    every = context.expanded(seeds, context.neighbours(seeds, chunks, 1, "doc_id"), context.siblings(seeds, chunks, 4, "doc_id"), file="doc_id")
+    picked = every.drop("source").join(chunks.select("doc_id", "chunk_index", "raw_start", "raw_end", "breadcrumb"), ["doc_id", "chunk_index"])
     return context.merged_segments(picked, "doc_id").select("doc_id", "raw_start", "raw_end", F.round("score", 6).alias("score"), "n_chunks")
 
 
@@ -271,8 +276,8 @@ def scan_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FILES} SELECT path FROM files WHERE (CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'stale' ELSE hash END) IS DISTINCT FROM hash")
 def self_heal_set(spark: SparkSession, sf: str) -> DataFrame:
-    written = F.when(F.col("doc_id") % 5 == 1, "stale").when(F.col("doc_id") % 5 != 0, F.col("hash"))
-    return indexing.to_heal(files(spark, sf).withColumn("vector_index_hash", written)).select("path")
+    known = F.when(F.col("doc_id") % 5 == 1, "stale").when(F.col("doc_id") % 5 != 0, F.col("hash"))
+    return indexing.to_heal(files(spark, sf).withColumn("vector_index_hash", known)).select("path")
 
 
 @query(f"WITH {FILES}, {BEFORE}, {NOW} SELECT path, hash FROM b WHERE path NOT IN (SELECT path FROM n) UNION ALL SELECT path, hash FROM n")
@@ -333,30 +338,30 @@ def feedback_summary(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.feedback_summary(asked, signals).select("total_events", "zero_hit_events", "rewritten_events", F.round("zero_hit_rate", 6).alias("zero_hit_rate"), F.round("rewrite_rate", 6).alias("rewrite_rate"))
 
 
-LEDGER = "k AS (SELECT *, coalesce(json_extract_string(props, '$.k')::BIGINT, 0) AS n FROM events), led AS (SELECT event_id, 's' || user_id AS session_id, event_type AS bucket, ['opus', 'sonnet', 'haiku', 'gpt-4o', 'gemini-1.5-pro', 'unpriced'][(n % 6 + 1)::INT] AS model, epoch_us(ts) // 1000 AS ts_ms, floor(value * 10)::BIGINT AS tokens_saved FROM k), prices AS (SELECT * FROM (VALUES ('opus', 15.0), ('sonnet', 3.0), ('haiku', 0.25), ('gpt-4o', 2.5), ('gemini-1.5-pro', 1.25)) p(model, rate)), ledger AS (SELECT led.*, tokens_saved / 1e6 * coalesce(rate, 0)::DOUBLE AS dollars_saved FROM led LEFT JOIN prices USING (model))"
+LEDGER = "k AS (SELECT *, coalesce(json_extract_string(props, '$.k')::BIGINT, 0) AS n FROM events), led AS (SELECT event_id, 's' || user_id AS session_id, event_type AS bucket, ['opus', 'sonnet', 'haiku', 'gpt-4o', 'gemini-1.5-pro', 'unpriced'][(n % 6 + 1)::INT] AS model, epoch_us(ts) // 1000 AS ts_ms, floor(value * 10)::BIGINT AS tokens_saved FROM k), prices AS (SELECT * FROM (VALUES ('opus', 15000), ('sonnet', 3000), ('haiku', 250), ('gpt-4o', 2500), ('gemini-1.5-pro', 1250)) p(model, rate)), ledger AS (SELECT led.*, tokens_saved * coalesce(rate, 0)::BIGINT AS nano FROM led LEFT JOIN prices USING (model))"
 
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.with_cost(ledger(spark, sf), "tokens_saved", out="dollars_saved")
 
 
-@query(f"WITH {LEDGER} SELECT coalesce(sum(tokens_saved), 0)::BIGINT AS tokens_saved, round(coalesce(sum(dollars_saved), 0), 6) AS dollars_saved, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts, count(DISTINCT session_id) AS sessions FROM ledger")
+@query(f"WITH {LEDGER} SELECT coalesce(sum(tokens_saved), 0)::BIGINT AS tokens_saved, coalesce(sum(nano), 0)::BIGINT / 1e9::DOUBLE AS dollars_saved, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts, count(DISTINCT session_id) AS sessions FROM ledger")
 def savings_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.savings_summary(_ledger(spark, sf)).withColumn("dollars_saved", F.round("dollars_saved", 6))
+    return analytics.savings_summary(_ledger(spark, sf))
 
 
 def _by_sql(column: str) -> str:
-    return f"WITH {LEDGER} SELECT {column}, sum(tokens_saved)::BIGINT AS tokens_saved, round(sum(dollars_saved), 6) AS dollars_saved, count(*) AS queries, CASE WHEN sum(sum(tokens_saved)) OVER () > 0 THEN floor(sum(tokens_saved)::DOUBLE / (sum(sum(tokens_saved)) OVER ())::DOUBLE * 100 + 0.5)::BIGINT ELSE 0 END AS percentage FROM ledger GROUP BY {column}"
+    return f"WITH {LEDGER} SELECT {column}, sum(tokens_saved)::BIGINT AS tokens_saved, sum(nano)::BIGINT / 1e9::DOUBLE AS dollars_saved, count(*) AS queries, CASE WHEN sum(sum(tokens_saved)) OVER () > 0 THEN floor(sum(tokens_saved)::DOUBLE / (sum(sum(tokens_saved)) OVER ())::DOUBLE * 100 + 0.5)::BIGINT ELSE 0 END AS percentage FROM ledger GROUP BY {column}"
 
 
 @query(_by_sql("bucket"))
 def savings_by_bucket(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.savings_by(_ledger(spark, sf), "bucket").withColumn("dollars_saved", F.round("dollars_saved", 6))
+    return analytics.savings_by(_ledger(spark, sf), "bucket")
 
 
 @query(_by_sql("model"))
 def savings_by_model(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.savings_by(_ledger(spark, sf), "model").withColumn("dollars_saved", F.round("dollars_saved", 6))
+    return analytics.savings_by(_ledger(spark, sf), "model")
 
 
 @query(f"WITH {LEDGER}, s AS (SELECT 's' || c_custkey AS session_id, c_custkey * 1000 AS started_at FROM customer) SELECT s.session_id, any_value(started_at) AS started_at, count(l.event_id) AS events, coalesce(sum(tokens_saved), 0)::BIGINT AS tokens_saved FROM s LEFT JOIN ledger l USING (session_id) GROUP BY s.session_id")
@@ -373,11 +378,11 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", fx.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"SELECT role, sum({_TOKENS})::BIGINT AS tokens, round(sum({_TOKENS})::DOUBLE / 1e6 * CASE role WHEN 'user' THEN 3.0::DOUBLE ELSE 15.0::DOUBLE END, 6) AS cost FROM conversations GROUP BY role")
+@query(f"SELECT role, sum({_TOKENS})::BIGINT AS tokens, (sum({_TOKENS})::BIGINT * CASE role WHEN 'user' THEN 3000 ELSE 15000 END) / 1e9::DOUBLE AS cost FROM conversations GROUP BY role")
 def cost_estimate(spark: SparkSession, sf: str) -> DataFrame:
     sums = table(spark, sf, "conversations").groupBy("role").agg(F.sum(fx.estimated_tokens(F.col("text"))).alias("tokens")).withColumn("model", F.lit("sonnet"))
     both = analytics.with_cost(analytics.with_cost(sums, "tokens", "input", out="_in"), "tokens", "output", out="_out")
-    return both.select("role", "tokens", F.round(F.when(F.col("role") == "user", F.col("_in")).otherwise(F.col("_out")), 6).alias("cost"))
+    return both.select("role", "tokens", F.when(F.col("role") == "user", F.col("_in")).otherwise(F.col("_out")).alias("cost"))
 
 
 @query(f"WITH {FILES} SELECT language, count(*) AS files, count(DISTINCT hash) AS contents, sum(size)::BIGINT AS bytes FROM files GROUP BY language")
@@ -510,7 +515,8 @@ def jaccard_previous_turn(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{CHUNKS} SELECT doc_id, chunk_index, raw_start FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def keyed_chunk_lookup(spark: SparkSession, sf: str) -> DataFrame:
     wanted = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    return indexing.file_chunks(_chunks(spark, sf), wanted, "doc_id").select("doc_id", "chunk_index", "raw_start")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")).join(wanted.distinct(), "doc_id", "left_semi")
+    return indexing.file_chunks(chunking.line_chunks(docs, keep=("doc_id",)), wanted, "doc_id").select("doc_id", "chunk_index", "raw_start")
 
 
 @query(f"{CHUNKS} SELECT count(DISTINCT doc_id) AS files, count(*) AS chunks, coalesce(max(doc_id * 1000), 0) AS last_indexed FROM chunks")
@@ -528,10 +534,10 @@ def commonest_event_type(spark: SparkSession, sf: str) -> DataFrame:
     return reports.first_mode(table(spark, sf, "events"), "user_id", "event_type", "event_id")
 
 
-@query(f"WITH {LEDGER}, s AS (SELECT 's' || c_custkey AS session_id FROM customer) SELECT s.session_id, 99::BIGINT AS ended_at, coalesce(sum(tokens_saved), 0)::BIGINT AS total_tokens_saved, round(coalesce(sum(dollars_saved), 0), 6) AS total_dollars_saved FROM s LEFT JOIN ledger USING (session_id) GROUP BY s.session_id")
+@query(f"WITH {LEDGER}, s AS (SELECT 's' || c_custkey AS session_id FROM customer) SELECT s.session_id, 99::BIGINT AS ended_at, coalesce(sum(tokens_saved), 0)::BIGINT AS total_tokens_saved, coalesce(sum(nano), 0)::BIGINT / 1e9::DOUBLE AS total_dollars_saved FROM s LEFT JOIN ledger USING (session_id) GROUP BY s.session_id")
 def session_end(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("session_id"))
-    return analytics.ended_sessions(rows, _ledger(spark, sf), 99).select("session_id", "ended_at", "total_tokens_saved", F.round("total_dollars_saved", 6).alias("total_dollars_saved"))
+    return analytics.ended_sessions(rows, _ledger(spark, sf), 99).select("session_id", "ended_at", "total_tokens_saved", "total_dollars_saved")
 
 
 TOKENS = "t AS (SELECT o_orderkey AS id, 'u' || o_custkey AS user_id, o_orderstatus <> 'P' AS is_active, CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE epoch_us(o_orderdate) // 1000 END AS expires_at, epoch_us(o_orderdate) // 1000 AS last_used_at FROM orders)"
@@ -564,7 +570,7 @@ def recent_activity(spark: SparkSession, sf: str) -> DataFrame:
     seeds AS (SELECT doc_id, chunk_index, part, 1.0::DOUBLE / (1 + doc_id + chunk_index) AS score FROM parts WHERE chunk_index = doc_id % 3), best AS (SELECT * FROM seeds QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY score DESC, chunk_index) = 1)
     SELECT doc_id, length(substr(text, f + 1, t - f))::INT AS chars, round(score, 6) AS score FROM best JOIN spans USING (doc_id, part) JOIN documents d USING (doc_id) WHERE regexp_matches(substr(text, f + 1, t - f), '\\S') ORDER BY best.score DESC, doc_id, chunk_index LIMIT 20""")
 def raw_code_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _chunks(spark, sf).withColumns({"file_path": F.col("doc_id").cast("string"), "breadcrumb": F.concat(F.lit("part "), F.floor(F.col("chunk_index") / 2).cast("string"))})
+    chunks = written(_chunks(spark, sf), "chunks").withColumns({"file_path": F.col("doc_id").cast("string"), "breadcrumb": F.concat(F.lit("part "), F.floor(F.col("chunk_index") / 2).cast("string"))})
     seeds = chunks.where("chunk_index = doc_id % 3").select("file_path", "chunk_index", (1.0 / (1 + F.col("doc_id") + F.col("chunk_index"))).alias("score"), F.lit("vector").alias("source"))
     whole = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     found = reports.raw_blocks(seeds, chunks, whole, 20)

@@ -33,11 +33,10 @@ def ignored(path: Column, patterns: list[str]) -> Column:
 def decoded(content: Column) -> Column:
     """Text of bytes by their byte-order mark, else as UTF-8, else as Latin-1."""
     head = F.hex(F.substring(content, 1, 4))
-    rest = lambda n: F.expr("substring") if n is None else F.substr(content, F.lit(n))
+    rest = lambda n: F.substr(content, F.lit(n))
     utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
     return (
-        F.when(head.startswith("FFFE0000"), F.decode(rest(5), "UTF-32LE"))
-        .when(head.startswith("0000FEFF"), F.decode(rest(5), "UTF-32BE"))
+        F.when(head.startswith("FFFE0000") | head.startswith("0000FEFF"), F.decode(content, "UTF-32"))  # the mark tells the order
         .when(head.startswith("EFBBBF"), F.decode(rest(4), "UTF-8"))
         .when(head.startswith("FFFE"), F.decode(rest(3), "UTF-16LE"))
         .when(head.startswith("FEFF"), F.decode(rest(3), "UTF-16BE"))
