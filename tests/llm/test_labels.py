@@ -59,15 +59,75 @@ def test_personal_query(spark, data):
         assert [s for s in spans if s.split(":")[0] in BASE] == base
 
 
-def test_chosen_candidates_join(spark, monkeypatch):
-    rows = [(k, f"text {k} token = \"{hashlib.sha1(str(k).encode()).hexdigest()}\" end") for k in range(60)] + [(100 + k, f"plain abcdefghijklmn{k:03d}opq words and 2024-01-{k % 28 + 1:02d}") for k in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+def secret_rows():
+    rows = [(k, f"text {k} token = \"{hashlib.sha1(str(k).encode()).hexdigest()}\" end") for k in range(60)]
+    rows += [(100 + k, f"plain abcdefghijklmn{k:03d}opq words and 2024-01-{k % 28 + 1:02d}") for k in range(60)]
+    # no name of a key: only the shape of what stands around tells
+    return rows + [(200 + k, f"x = \"{hashlib.sha1(str(-k - 1).encode()).hexdigest()}\" y") for k in range(2)]
+
+
+def test_chosen_candidates_join(spark):
+    docs = spark.createDataFrame(secret_rows(), "doc_id long, text string")
     model = personal.fit(docs)
-    assert model.trees and model.threshold < float("inf")
+    assert len(model.trees) == personal.TREES and model.precision >= personal.RIGHT and model.recall > 0.5
     got = {r.doc_id: r.s for r in personal.all_spans(docs, model).select("doc_id", personal.as_text("_spans").alias("s")).collect()}
-    assert all("secret:" in got[k] for k in range(60)) and not any(got[100 + k] for k in range(60))
+    assert all("secret:" in got[k] for k in [*range(60), *range(200, 202)]) and not any(got[100 + k] for k in range(60))
     clean = personal.redact(docs, model)
-    assert all(not re.search("[0-9a-f]{40}", r.text) and ("[SECRET]" in r.text) == (r.doc_id < 60) for r in clean.collect())
+    assert all(not re.search("[0-9a-f]{40}", r.text) and ("[SECRET]" in r.text) == (not 100 <= r.doc_id < 160) for r in clean.collect())
+
+
+def brute_candidates(text):
+    """(start, end, generator, features) of each generator's matches; patterns without what only saves time."""
+    plain = {
+        "assigned": r"(?:(?<=[=:])|(?<=[=:] )|(?<=[=:]  )|(?<=[=:][\"'`])|(?<=[=:] [\"'`])|(?<=[=:]  [\"'`]))[^\s=:\"'`,;<>/\[\](){}]{8,}", "run": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*[0-9])[A-Za-z0-9_/+=-]{12,}",
+        "iban": personal.GENERATORS["iban"], "document": personal.GENERATORS["document"], "groups": r"(?<![0-9A-Za-z])(?:[A-Z]{2})?[0-9](?:[ ./-]?[0-9A-Z]){7,}",
+    }
+    out = []
+    for n, g in enumerate(personal.GENERATORS):
+        last = 0
+        for m in re.finditer(plain[g], text):
+            hit, before, after = m.group(), text[last : m.start()][-24:], text[m.end() : m.end() + 1]
+            last = m.end()
+            digits = sum(c in "0123456789" for c in hit)
+            f = {
+                "generator": n, "long": min(5, len(hit) // 8), "digits": 4 * digits // len(hit), "diverse": min(4, len(set(hit)) // 4), "mixed": int(bool(re.search("[A-Za-z]", hit)) and digits > 0), "spaced": int(bool(re.search("[ ./-]", hit))),
+                "hexadecimal": int(bool(re.fullmatch("[0-9a-fA-F]+", hit))), "assigned": int(bool(re.search("[=:] ?[\"'`]?$", before))), "quoted": int(before[-1:] in ("\"", "'", "`") and before != ""), "closed": int(after in tuple("\"'`;,")),
+            }
+            out.append((m.start(), m.end(), n, f))
+    return out
+
+
+def brute_spans(text, model):
+    base = [(m.start(), m.end(), n) for n, (k, p) in enumerate(BASE.items()) for m in re.finditer(p, text or "") if holds(k, m.group())]
+    chosen = [c for c in brute_candidates(text or "") if model.of(c[3]) >= model.threshold and not any(a < c[1] and c[0] < b for a, b, _ in base)]
+    joins = [c for c in chosen if not any(d[2] < c[2] and d[0] < c[1] and c[0] < d[1] for d in chosen)]
+    spans = [(a, n, b) for a, b, n in base] + [(a, personal.KINDS.index(list(personal.KIND_OF.values())[n]), b) for a, b, n, _ in joins]
+    return ",".join(f"{personal.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def test_all_spans_equal_brute_force(spark):
+    more = ["IBAN DE89370400440532013000 and DE89 3704 0044 0532 0130 00, passport C01X00T47 AB1234567", "password: hunter2hunter2, key='0123456789abcdef0123' x@y.zz token=abc@d.ef.gh", "a = \"q1w2e3r4t5z6u7i8\" " * 300, "🙂 key = \"aaaaaaaa11111111bbbbbbbb22222222\""]
+    texts = [t for t in [*TEXTS, *more] if t is None or len(t) < 9000] + [t for _, t in secret_rows()]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for model in (personal.boost([], []), personal.fit(docs)):
+        got = {r.doc_id: r.s for r in personal.all_spans(docs, model).select("doc_id", personal.as_text("_spans").alias("s")).collect()}
+        for k, t in enumerate(texts):
+            assert got[k] == brute_spans(t, model), (k, t and t[:60])
+
+
+def test_check_digits(spark):
+    rows = [("DE89370400440532013000", True), ("DE89 3704 0044 0532 0130 00", True), ("GB82WEST12345698765432", True), ("DE88370400440532013000", False)]
+    got = {r.t: r.ok for r in spark.createDataFrame([(t,) for t, _ in rows], "t string").select("t", personal._mod97(F.col("t")).alias("ok")).collect()}
+    assert got == dict(rows)
+
+
+def test_many_hits_take_time_in_proportion(spark):
+    text = " ".join(f"a{k}@b{k}.de" for k in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = personal.boost([], [])
+    row = personal.all_spans(docs, model).select(personal.as_text("_spans").alias("s")).first()
+    assert row.s == ",".join(brute(text))
+    assert personal.redact(docs, model).first().text == " ".join(["[EMAIL]"] * 20_000)
 
 
 def test_redaction_keeps_columns(spark):

@@ -24,10 +24,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_secret, n_iban, n_other (counts of the added spans) and has_personal (any span at all)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = personal.all_spans(docs, personal.fit(docs))
     count = lambda n: F.size(F.filter("_spans", lambda s: s["kind"] == n)).cast("long")
-    return found.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(personal.PATTERNS)), F.sha2(personal.as_text("_base"), 256).alias("base_sha256"), personal.as_text("_spans").alias("spans"))
+    return found.select(
+        "doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(personal.KINDS)), F.sha2(personal.as_text("_base"), 256).alias("base_sha256"), personal.as_text("_spans").alias("spans"), (F.size("_spans") > 0).cast("int").alias("has_personal")
+    )
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
