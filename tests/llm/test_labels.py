@@ -188,14 +188,35 @@ def test_toxicity_query_is_accurate_on_held_out_rows(spark):
     assert right >= 0.95 * len(held)
 
 
+def weak_votes(n=6000, seed=1):
+    """Sparse voters: good ones, one that three others copy, and noisy ones that fire in either class."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(n) < 0.2
+    fires = lambda a, b: np.where(truth, rng.random(n) < a, rng.random(n) < b)
+    copied = fires(0.4, 0.06)
+    good = [fires(0.5, 0.004) for _ in range(4)]
+    noisy = [fires(0.03, 0.02) for _ in range(3)]
+    return np.stack([copied, copied, copied, copied, *good, *noisy], axis=1).astype(np.float32), truth
+
+
+def noisy_human(truth, share=0.12, seed=9):
+    return np.where(np.random.default_rng(seed).random(len(truth)) < share, ~truth, truth).astype(float)
+
+
 def test_label_model_discounts_copied_votes():
-    rng = np.random.default_rng(1)
-    truth = rng.random(4000) < 0.2
-    one = np.where(truth, rng.random(4000) < 0.7, rng.random(4000) < 0.02)
-    two = np.where(truth, rng.random(4000) < 0.7, rng.random(4000) < 0.02)
-    votes = np.stack([one, one, one, two], axis=1).astype(np.float32)
-    _, _, own = toxicity.label_model(votes, truth.astype(float))
-    assert own[0] < 0.5 < own[3]
+    votes, truth = weak_votes()
+    _, _, own = toxicity.label_model(votes, noisy_human(truth))
+    assert own[:4].max() < 0.4 < 0.7 < own[4:8].min()
+
+
+def test_posterior_labels_mend_human_labels():
+    for seed in range(3):
+        votes, truth = weak_votes(seed=seed)
+        human = noisy_human(truth, seed=seed)
+        right = lambda guess: (guess == truth).mean()
+        post, _, _ = toxicity.label_model(votes, human)
+        assert right(post > 0.5) > right(human > 0) + 0.005 and right(post > 0.5) >= right(votes.sum(axis=1) >= 1)
+        assert ((post > 0.5) == truth)[(human > 0) != truth].mean() > 0.9
 
 
 def test_licences(spark):
