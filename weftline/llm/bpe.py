@@ -23,15 +23,15 @@ from pyspark.sql import types as T
 
 from weftline.llm.common import texts
 
-#: Words that a worker remembers before it forgets the older half.
-REMEMBERED = 400_000
+#: Words that a worker remembers before it forgets the older half, and the longest word that it remembers, in characters.
+REMEMBERED, LONGEST = 400_000, 64
 
 # The word pattern of the byte-level vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Remembered(dict):
-    """A dictionary that computes what it lacks and keeps two generations at most."""
+    """A dictionary of short strings that computes what it lacks and keeps two generations at most, so its bytes are bounded."""
 
     def __init__(self, compute, most: int = REMEMBERED):
         super().__init__()
@@ -41,6 +41,8 @@ class Remembered(dict):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
+        if isinstance(key, str) and len(key) > LONGEST:
+            return value
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()

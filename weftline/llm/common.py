@@ -2,53 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import clean_up, discard, fresh_path, named, shared_dir, written
+
+__all__ = ["HOT_SHARE", "clean_up", "discard", "free_name", "fresh_path", "left_join_hot", "named", "shared_dir", "table", "texts", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as
-    in a local test session, a temporary folder of this machine serves.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or os.path.join(tempfile.gettempdir(), f"weftline-{spark.sparkContext.applicationId}")
-
-
-#: Folders that this process has named in the shared folder.
-_NAMED: list[str] = []
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    _NAMED.append(f"{shared_dir(spark).rstrip('/')}/weftline-{tag}-{uuid.uuid4().hex}")
-    return _NAMED[-1]
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this process; results that still read from them are then gone too."""
-    while _NAMED:
-        discard(spark, _NAMED.pop())
-
-
-def written(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Cut lineage by writing ``df`` to the shared folder and reading it again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A key is hot if it has more than one in so many of the rows; so there are at most so many hot keys.
 HOT_SHARE = 1000
 
@@ -71,13 +37,6 @@ def left_join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, spre
     return joined.select(*left.columns, *[F.coalesce(c, f"_hot_{c}").alias(c) for c in others])
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``fresh_path`` gave, in whichever store it is."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores after it until no column has that name."""
     taken = {c.lower() for c in df.columns}

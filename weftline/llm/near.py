@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.bpe import Remembered
-from weftline.llm.common import free_name, texts, written
+from weftline.llm.common import discard, free_name, left_join_hot, named, texts, written
 
 #: n-gram length, least similarity, recall of a pair just as similar as that, most band hashes of a text.
 N, SIMILAR, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
@@ -38,8 +38,14 @@ BLOCK_GRAMS, BLOCK_ROWS = 1 << 20, 1024
 
 
 def bands_for(similarity: float = SIMILAR, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows, so the fewest false meetings, at which ``recall`` holds with ``most`` hashes."""
-    best = (most, 1)
+    """(bands, rows): the most rows, so the fewest false meetings, at which ``recall`` holds with ``most`` hashes.
+
+    Where no number of rows has the recall within ``most`` hashes, as many bands of
+    one row are taken as it needs.
+    """
+    if not (0 < similarity <= 1 and 0 < recall < 1):
+        raise ValueError("similarity lies above 0, recall between 0 and 1")
+    best = (math.ceil(math.log(1 - recall) / math.log1p(-similarity)) if similarity < 1 else 1, 1)
     for rows in range(1, most + 1):
         bands = math.ceil(math.log(1 - recall) / math.log1p(-(similarity**rows))) if similarity**rows < 1 else 1
         if bands * rows <= most:
@@ -186,9 +192,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round is a few shuffles of the edges, written to the shared folder; the
     driver sees one number a round.
     """
+    spark = edges.sparkSession
     edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
+        done = named()[-1:]
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         # large star: larger neighbours link to the least node of the neighbourhood
@@ -198,6 +206,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").where("x <> m").unionAll(low.select(F.col("u").alias("x"), "m"))
         edges = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        for path in [*done, named()[-2]]:  # the edges before this round, and its large stars
+            discard(spark, path)
         mark = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.lit(0))).first()
         if tuple(mark) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -240,9 +250,14 @@ def near_classes(docs: DataFrame, n: int = N, similarity: float = SIMILAR, recal
     found = components(links.select(F.col("set_hash").alias("a"), F.col("root").alias("b")))
     texts_ = unique.select("set_hash", "least_id", "n_copies").join(counts, "set_hash", "left").join(found.withColumnRenamed("node", "set_hash"), "set_hash", "left")
     texts_ = texts_.withColumn("root", F.coalesce("root", "set_hash"))
-    classes = texts_.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    texts_ = texts_.join(classes, "root").select("set_hash", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return signed.select(id_col, "set_hash").join(texts_, "set_hash", "left").select(id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    # a class may hold a third of all texts: its row is broadcast, as there are few such classes
+    texts_ = written(texts_, "rooted")
+    classes = texts_.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    classes = written(classes, "classes")
+    texts_ = left_join_hot(texts_, classes, "root", "members", "set_hash").select("set_hash", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    # likewise a text may be a third of all rows
+    texts_ = written(texts_.withColumn("_rows", F.col("n_copies")), "texts")
+    return left_join_hot(signed.select(id_col, "set_hash"), texts_, "set_hash", "_rows", id_col).select(id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def _grams_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:

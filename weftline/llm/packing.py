@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.bpe import REMEMBERED
+from weftline.llm.bpe import LONGEST, REMEMBERED
 from weftline.llm.common import texts, written
 
 #: Tokens of a window, windows that a partition keeps open, least gap worth a cut, partitions whose leftovers meet.
@@ -67,7 +67,11 @@ class WordIds:
             for chunk, found in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 ids = found.ids
                 known[chunk] = FORMATS[len(ids)](*ids) if len(ids) < len(FORMATS) else struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        for chunk in todo:
+            if len(chunk) > LONGEST:  # long ones would fill the memory
+                del known[chunk]
+        return out
 
 
 @lru_cache(maxsize=4)
