@@ -296,12 +296,24 @@ def cut_and_mixed_copies():
 def test_passages_of_long_templates_against_brute_force():
     for name, text in cut_and_mixed_copies():
         best = brute_best(text, licences.TEMPLATES[name])
-        found, dice, first, n = licences.Scanner({name: licences.TEMPLATES[name]}, 0.8).scan(text)
+        matches = licences.Scanner({name: licences.TEMPLATES[name]}, 0.8).scan(text)
+        found, dice, first, n = matches[0] if matches else (None, 0.0, 0, 0)
         assert (found == name) == (best >= 0.8) and (not found or dice == pytest.approx(best)), (name, best, dice)
         if found:
             assert brute_best(" ".join(re.findall(r"\w+", text)[first : first + n]), licences.TEMPLATES[name]) == pytest.approx(dice)
 
 
+def test_every_licence_of_a_text():
+    t, scanner = licences.TEMPLATES, licences.Scanner(licences.TEMPLATES, 0.8)
+    whole = scanner.scan(f"{t['MIT']} and then {t['ISC']} some more words {t['MIT']} {t['Apache-2.0']}")
+    assert sorted((name, dice) for name, dice, _, _ in whole) == [("Apache-2.0", 1.0), ("ISC", 1.0), ("MIT", 1.0), ("MIT", 1.0)]
+    spans = sorted((first, first + n) for _, _, first, n in whole)
+    assert all(a[1] <= b[0] + 1 for a, b in zip(spans, spans[1:]))
+    for name, text in t.items():  # each template is known among all, by itself or by one with the same bigrams
+        found = scanner.scan(f"before it {text} after it")[0]
+        assert found[1] == 1.0 and (found[0] == name or set(licences.bigrams(t[found[0]])) >= set(licences.bigrams(text)))
+
+
 def test_held_out_rows(spark):
     got = spark.createDataFrame([(k,) for k in range(50)], "doc_id long").select("doc_id", queries_labels.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)

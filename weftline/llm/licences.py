@@ -6,6 +6,9 @@ prune: where fewer than t / (2 - t) of the template's bigrams occur no passage c
 reach Dice t, nor can one with more distinct bigrams than (2 - t) / t times the
 template's.
 
+All matches of a text are reported that overlap no better one, those of one template
+at several places too.
+
 Defined cases: a null or empty text has no licence; of equally similar templates the
 larger counts, then the first by name; of equally similar passages the first counts,
 with the words around it whose bigrams it already holds; a text of any length is scanned whole; rows
@@ -15,6 +18,7 @@ that repeat give rows that repeat; other columns are dropped.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +44,14 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see http://creativecommons.org/publicdomain/zero/1.0/.",
     "MIT (notice)": "Released under the MIT License.",
     "Apache-2.0 (notice)": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
@@ -74,34 +86,38 @@ class Scanner:
         self.vocabulary = np.unique(np.concatenate(list(self.sets.values()))) if self.sets else np.zeros(0, dtype=np.uint64)
         self.member = {name: np.isin(self.vocabulary, s) for name, s in self.sets.items()}
 
-    def scan(self, text: str) -> tuple[str | None, float, int, int]:
-        """(best template, Dice, first word, words) of the text's most similar passage."""
+    def scan(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(template, Dice, first word, words) of the text's matches, the most similar first; none overlaps a better one."""
         grams = bigrams(text)
         if not len(grams) or not len(self.vocabulary):
-            return None, 0.0, 0, 0
+            return []
         at = np.minimum(np.searchsorted(self.vocabulary, grams), len(self.vocabulary) - 1)
         hits = np.flatnonzero(self.vocabulary[at] == grams)
-        if not len(hits):
-            return None, 0.0, 0, 0
         found = at[hits]
-        best = (0.0, 0, None, 0, 0)
+        passages = []
         before = after = code = None
         for name, own in self.sets.items():
             size = len(own)
             need = self.least / (2 - self.least) * size - 1e-9
             mine = self.member[name][found]
-            if mine.sum() < need or len(np.unique(at[hits[mine]])) < need:
+            if not len(hits) or mine.sum() < need or len(np.unique(at[hits[mine]])) < need:
                 continue  # too few of the template's bigrams occur
             if before is None:
                 before, after, code = self._neighbours(grams)
             own_at = np.zeros(len(grams), dtype=bool)
             own_at[hits[mine]] = True
             most = int((2 - self.least) / self.least * size + 1e-9)
-            for dice, first, last in self._passages(own_at, before, after, size, most, need):
-                if dice >= self.least and (dice, size) > best[:2]:
-                    first, last = self._widened(code, first, last)
-                    best = (dice, size, name, first, last - first + 2)
-        return best[2], best[0], best[3], best[4]
+            passages += [(-dice, -size, name, first, last) for dice, first, last in self._passages(own_at, before, after, size, most, need) if dice >= self.least]
+        taken: list[tuple[int, int]] = []  # apart, in order
+        out = []
+        for minus, _, name, first, last in sorted(passages):
+            k = bisect_right(taken, (first, len(grams)))
+            if (k and taken[k - 1][1] >= first) or (k < len(taken) and taken[k][0] <= last):
+                continue
+            first, last = self._widened(code, first, last, taken[k - 1][1] + 1 if k else 0, taken[k][0] if k < len(taken) else len(code))
+            taken.insert(k, (first, last))
+            out.append((name, -minus, first, last - first + 2))
+        return out
 
     @staticmethod
     def _neighbours(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,26 +159,33 @@ class Scanner:
                 break
 
     @staticmethod
-    def _widened(code: np.ndarray, first: int, last: int) -> tuple[int, int]:
-        """The passage with the bigrams around it that it already holds."""
+    def _widened(code: np.ndarray, first: int, last: int, low: int, high: int) -> tuple[int, int]:
+        """The passage with the bigrams around it, from ``low`` and before ``high``, that it already holds."""
         held = set(code[first : last + 1].tolist())
-        while first and int(code[first - 1]) in held:
+        while first > low and int(code[first - 1]) in held:
             first -= 1
-        while last + 1 < len(code) and int(code[last + 1]) in held:
+        while last + 1 < high and int(code[last + 1]) in held:
             last += 1
         return first, last
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, licence, dice, first_word, n_words) of each document; licence null and the rest 0 where none is similar enough."""
+    """(id, licence, dice, first_word, n_words) of each document's best match, and ``matches``, all of them by place.
+
+    licence is null, the rest 0 and matches empty where none is similar enough.
+    """
     given = dict(TEMPLATES if templates is None else templates)
+    names = ("licence", "dice", "first_word", "n_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scanner(given, least)
         for batch in batches:
             found = [own.scan(t) for t in batch.column(1).to_pylist()]
+            best = [f[0] if f else (None, 0.0, 0, 0) for f in found]
             kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))], names=[id_col, "licence", "dice", "first_word", "n_words"])
+            every = pa.array([[dict(zip(names, m, strict=True)) for m in sorted(f, key=lambda m: m[2])] for f in found], pa.list_(pa.struct(list(zip(names, kinds, strict=True)))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in best], kind) for k, kind in enumerate(kinds)), every], names=[id_col, *names, "matches"])
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("licence", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
+    match = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.IntegerType(), T.IntegerType()), strict=True)]
+    schema = T.StructType([docs.schema[id_col], *match, T.StructField("matches", T.ArrayType(T.StructType(match)))])
     return texts(docs, id_col, text_col).mapInArrow(run, schema)

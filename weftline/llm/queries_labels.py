@@ -34,4 +34,6 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"))
+    """The best match of each document, and all of them as name:dice:first_word:n_words, by place."""
+    shown = F.transform("matches", lambda m: F.concat_ws(":", m["licence"], F.format_string("%.6f", m["dice"]), m["first_word"].cast("string"), m["n_words"].cast("string")))
+    return licences.scan(table(spark, sf_dir, "documents")).withColumn("matches", F.array_join(shown, ","))
