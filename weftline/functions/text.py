@@ -175,6 +175,17 @@ def estimated_tokens(text: Column) -> Column:
     return F.when(F.coalesce(size, F.lit(0)) == 0, F.lit(0)).otherwise(F.ceil(size / F.when(special / size > 0.05, 3.5).otherwise(4.0))).cast("long")
 
 
+def project_id(path: Column, born_ms: Column) -> Column:
+    """Ten hexadecimal digits that a project's folder and its time of birth give."""
+    return F.left(F.md5(F.encode(F.concat_ws("::", path, born_ms.cast("string")), "utf-8")), F.lit(10))
+
+
+def format_uptime(seconds: Column) -> Column:
+    """Days, hours and minutes, from the largest that isn't 0 on; at least minutes."""
+    day, hour, minute = F.floor(seconds / 86_400), F.floor(seconds % 86_400 / 3600), F.floor(seconds % 3600 / 60)
+    return F.when(day > 0, F.format_string("%dd %dh %dm", day, hour, minute)).when(hour > 0, F.format_string("%dh %dm", hour, minute)).otherwise(F.format_string("%dm", minute))
+
+
 def half_up(x: Column) -> Column:
     """Nearest whole number, halves upwards."""
     return F.floor(x + 0.5).cast("long")

@@ -56,6 +56,22 @@ def feedback_summary(events: DataFrame, signals: DataFrame, since_ms: int = 0) -
     return e.crossJoin(F.broadcast(s)).withColumns({"zero_hit_rate": rate("zero_hit_events"), "pin_rate": rate("pinned_events"), "rewrite_rate": rate("rewritten_events")})
 
 
+def signal_breakdown(signals: DataFrame) -> DataFrame:
+    """One row: a map from each signal to its number."""
+    counts = signals.groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "n")))).alias("breakdown"))
+
+
+def with_evidence(signals: DataFrame, *columns: str) -> DataFrame:
+    """``signals`` with the columns as JSON text in ``evidence``."""
+    return signals.withColumn("evidence", F.to_json(F.struct(*columns)))
+
+
+def record(rows: DataFrame, path: str) -> None:
+    """Append events, signals or ledger rows to their table."""
+    rows.write.mode("append").parquet(path)
+
+
 def top_files(signals: DataFrame, limit: int = 10) -> DataFrame:
     got = signals.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.count(F.lit(1)).alias("hits"), F.sum("weight").alias("weight"))
     return got.orderBy(F.col("weight").desc(), F.col("hits").desc(), "file_path").limit(limit)

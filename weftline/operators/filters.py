@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import CODE_LANGUAGES, LANGUAGES
+from weftline.functions.text import CODE_LANGUAGES, LANGUAGES, glob_regex
 
 # Fixed value: the shape of a field in a query.
 FIELD = r"(?i)\b(kind|lang|language|path|name):(\S+)"
@@ -57,6 +57,16 @@ def field_filter(rows: DataFrame, filters: dict, path: str = "file_path", breadc
     return rows
 
 
+def loose_filter(rows: DataFrame, filters: dict, path: str = "file_path", breadcrumb: str = "breadcrumb", language: str = "language") -> DataFrame:
+    """The other matcher: languages by part, paths by pattern anywhere in the path, kinds and names as in ``field_filter``."""
+    rows = field_filter(rows, {k: filters.get(k) for k in ("kind", "name")}, path, breadcrumb, language)
+    if filters.get("lang"):
+        rows = rows.where(F.coalesce(F.lower(language).rlike("|".join(re.escape(v.lower()) for v in filters["lang"])), F.lit(False)))
+    if filters.get("path"):
+        rows = rows.where(F.coalesce(F.lower(path).rlike("|".join(glob_regex(v.lower())[1:-1] for v in filters["path"])), F.lit(False)))
+    return rows
+
+
 def languages_for(code_only: bool = False, include: list[str] | None = None, exclude: list[str] | None = None) -> list[str] | None:
     """The languages to keep, null for all; an empty choice means all as well."""
     known = set(LANGUAGES.values()) | {"unknown"}

@@ -55,6 +55,11 @@ def acknowledge(files: DataFrame, done: DataFrame, key: str = "path") -> DataFra
     return files.join(new, key, "left").withColumn("vector_index_hash", F.coalesce("_done", "vector_index_hash")).drop("_done")
 
 
+def cleared(rows: DataFrame) -> DataFrame:
+    """The next snapshot after everything was deleted: the same columns, no rows."""
+    return rows.where(F.lit(False))
+
+
 def replace_chunks(chunks: DataFrame, new: DataFrame, key: str = "file_path") -> DataFrame:
     """Chunks of the files in ``new`` replaced as a whole."""
     return chunks.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

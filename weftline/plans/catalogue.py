@@ -292,13 +292,13 @@ def index_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return indexing.consistency(vectors, other)
 
 
-EVENTS = "ev AS (SELECT conv_id, turn, text, (turn % 3)::INT AS seed_count FROM conversations WHERE role = 'user'), tok AS (SELECT *, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS t FROM ev), prev AS (SELECT *, lag(t) OVER w AS p, lag(seed_count) OVER w AS s FROM tok WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), sig AS (SELECT conv_id, turn, CASE WHEN len(list_distinct(list_concat(p, t))) = 0 THEN 0.0 ELSE len(list_intersect(p, t))::DOUBLE / len(list_distinct(list_concat(p, t))) END AS similarity FROM prev WHERE s = 0)"
+EVENTS = "ev AS (SELECT conv_id, turn, 'where is the licence of ' || coalesce(regexp_extract(text, '[A-Za-z]+'), '') AS text, (turn % 3)::INT AS seed_count FROM conversations WHERE role = 'user'), tok AS (SELECT *, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS t FROM ev), prev AS (SELECT *, lag(t) OVER w AS p, lag(seed_count) OVER w AS s FROM tok WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), sig AS (SELECT conv_id, turn, CASE WHEN len(list_distinct(list_concat(p, t))) = 0 THEN 0.0 ELSE len(list_intersect(p, t))::DOUBLE / len(list_distinct(list_concat(p, t))) END AS similarity FROM prev WHERE s = 0)"
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns as retrieval events; the number of hits is the turn's remainder by 3."""
+    """User turns as retrieval events that ask for the licence of their first word; the number of hits is the turn's remainder by 3."""
     rows = table(spark, sf, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), (F.col("turn") % 3).cast("int").alias("seed_count"))
+    return rows.select("conv_id", "turn", F.concat(F.lit("where is the licence of "), F.coalesce(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit(""))).alias("text"), (F.col("turn") % 3).cast("int").alias("seed_count"))
 
 
 @query(f"WITH {EVENTS} SELECT conv_id, turn, -0.6::DOUBLE AS weight, round(similarity, 4) AS similarity FROM sig WHERE similarity >= 0.4")
@@ -575,3 +575,7 @@ def raw_code_blocks(spark: SparkSession, sf: str) -> DataFrame:
     whole = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     found = reports.raw_blocks(seeds, chunks, whole, 20)
     return found.select(F.col("file_path").cast("long").alias("doc_id"), F.length("text").alias("chars"), F.round("score", 6).alias("score"))
+
+
+# Registers the queries over source files.
+from weftline.plans import catalogue_code  # noqa: E402, F401

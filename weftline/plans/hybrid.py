@@ -43,6 +43,10 @@ def hybrid_search(
     return per_group_cap(top, "source_name", cap, F.col("score").desc(), "doc_id").select("doc_id", "path", "score", "source")
 
 
+#: Expansion of a thorough search: two neighbours to each side, three siblings, no imports.
+THOROUGH = {"hops": 2, "siblings": 3, "files_per_seed": 0}
+
+
 def seeds(candidates: DataFrame, scorer, top: int = 10) -> DataFrame:
     """Reranked candidates after the adaptive cut-off."""
     return smart_cutoff(rerank(candidates, scorer, top, "doc_id"), "doc_id")
