@@ -1,8 +1,8 @@
 """WARC archives whose repeated payloads are revisit records.
 
 ``write_archives`` resolves revisits and writes the archives; ``read_archives``
-parses archives by their content lengths and joins each revisit record to the
-response that it refers to.
+parses archives as a stream, by their content lengths, and ``join_revisits`` joins
+each revisit record to the response that it refers to.
 
 Headers, not payloads, are grouped by payload digest; digests that many captures share
 are joined by broadcast of those few digests. A payload of at least
@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import left_join_hot, written
 
 END = "\r\n"
-#: What a record's date says where the caller gives none; archives are then equal from run to run.
-DATE = "1970-01-01T00:00:00Z"
+#: Bytes of blocks after which a batch of read records is passed on.
+BATCH_BYTES = 32 << 20
 # The digits of base 32, those that conv() gives and those of the format; the revisit profile.
 DIGITS = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,38 +100,44 @@ def _record(id_col: str, url_col: str, payload_col: str, date: str) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE, records_per_file: int = 20_000) -> None:
-    """Write gzipped archives, one or more a task, by Spark's own text writer, in which ``END END`` closes a record."""
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | None = None, records_per_file: int = 20_000) -> None:
+    """Write gzipped archives, one or more a task, by Spark's own text writer, in which ``END END`` closes a record.
+
+    Records are dated ``date``, or with the time of the call.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     records = resolve(pages, least_bytes, id_col, url_col, payload_col).select(_record(id_col, url_col, payload_col, date).alias("value"))
     records.write.options(**{"lineSep": END + END, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": records_per_file}).text(path)
 
 
-def _members(data: bytes) -> bytes:
-    """All gzip members of a file, or the file itself where it isn't gzipped."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record."""
-    data, at = _members(data), 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        body = data.index(b"\r\n\r\n", at) + 4
-        lines = data[at : body - 4].decode().split(END)[1:]
-        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-        n = int(headers["Content-Length"])
-        yield headers, data[body : body + n]
-        at = body + n + 4
+def parse(lines: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of a stream of lines, whose line feeds are cut off; one record at a time is held."""
+    lines = iter(lines)
+    for line in lines:
+        if not line.startswith(b"WARC/1."):
+            continue
+        headers = {}
+        for line in lines:
+            if line in (b"\r", b""):
+                break
+            name, _, value = line.rstrip(b"\r").decode().partition(":")
+            headers[name] = value.removeprefix(" ")
+        n, parts, size = int(headers["Content-Length"]), [], 0
+        while size < n + 2 * len(END):
+            line = next(lines, None)
+            if line is None:
+                raise ValueError("an archive ends inside a record")
+            parts.append(line)
+            size += len(line) + 1
+        yield headers, b"\n".join(parts)[:n]
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null in revisits), digest_holds."""
+    """Per record: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null in revisits), digest_holds.
+
+    Archives are read as lines, a compressed one by one task from start to end, so no
+    task holds more than some lines and one record.
+    """
     names = ["page_id", "url", "record_type", "record_id", "to_id", "payload_bytes", "payload_digest", "payload", "digest_holds"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
 
@@ -139,25 +145,25 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-        for batch in batches:
-            for data in batch.column(0):
-                rows = []
-                for headers, block in parse(data.as_py()):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    said = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    revisit = headers["WARC-Type"] == "revisit"
-                    own = said if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    size = int(head.rsplit(b"Content-Length: ", 1)[1]) if revisit else len(payload)
-                    page = headers["WARC-Page-ID"]
-                    rows.append((int(page) if page else None, headers["WARC-Target-URI"], headers["WARC-Type"], headers["WARC-Record-ID"], headers.get("WARC-Refers-To"), size, own, None if revisit else payload, own == said))
-                    if len(rows) == 1000:
-                        yield batch_of(rows)
-                        rows = []
-                if rows:
-                    yield batch_of(rows)
+        rows, held = [], 0
+        for headers, block in parse(line for batch in batches for line in batch.column(0).to_pylist()):
+            head, _, payload = block.partition(b"\r\n\r\n")
+            said = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+            revisit = headers["WARC-Type"] == "revisit"
+            own = said if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            size = int(head.rsplit(b"Content-Length: ", 1)[1]) if revisit else len(payload)
+            page = headers["WARC-Page-ID"]
+            rows.append((int(page) if page else None, headers["WARC-Target-URI"], headers["WARC-Type"], headers["WARC-Record-ID"], headers.get("WARC-Refers-To"), size, own, None if revisit else payload, own == said))
+            held += len(block)
+            if len(rows) == 1000 or held > BATCH_BYTES:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
     schema = "page_id long, url string, record_type string, record_id string, to_id string, payload_bytes long, payload_digest string, payload binary, digest_holds boolean"
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(records, schema)
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.txt*").text(path)
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(records, schema)
 
 
 def join_revisits(records: DataFrame) -> DataFrame:
