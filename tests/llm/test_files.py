@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common, imatch, queries_files, sharding, warc
 from weftline.llm.common import fresh_path
+from weftline.plans import lineage
 
 
 def test_intermediate_tables_can_be_deleted(spark):
     import os
 
     df = common.written(spark.range(3).toDF("a"), "t")
-    path = common._NAMED[-1]
+    path = lineage._NAMED[-1]
     assert df.count() == 3 and os.path.isdir(path)
-    kept, common._NAMED[:] = common._NAMED[:-1], [path]
+    kept, lineage._NAMED[:] = lineage._NAMED[:-1], [path]
     common.clean_up(spark)
-    assert not os.path.exists(path) and not common._NAMED
-    common._NAMED[:] = kept
+    assert not os.path.exists(path) and not lineage._NAMED
+    lineage._NAMED[:] = kept
 
 
 def test_hot_keys_join_like_others(spark):
@@ -82,6 +83,20 @@ def test_sharding_of_odd_rows(spark):
     assert empty.count() == 0 and sum(map(sum, none)) == 0
 
 
+def test_equal_texts_stay_together(spark):
+    rows = [(k, f"text {k % 1500} " * 3) for k in range(6000)] + [(6000 + k, "one large group of copies") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found, moves = sharding.reshard(docs, F.crc32(F.encode("text", "utf-8")) % 3, 3, 4)
+    got = found.select("text", "_shard", "_size").collect()
+    shards, sizes = {}, [0] * 4
+    for r in got:
+        shards.setdefault(r.text, set()).add(r._shard)
+        sizes[r._shard] += r._size
+    assert len(got) == 9000 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 4
+    split = [t for t, s in shards.items() if len(s) > 1]
+    assert split == ["one large group of copies"] and len(shards[split[0]]) > 1
+
+
 def test_only_changed_shards_are_written(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"))
     rows, moves = sharding.reshard(docs, F.when(F.col("doc_id") < 100, 0).when(F.col("doc_id") < 200, 1).otherwise(2), 3, 4, capacities=[1200, 1200, 1200, 1200])

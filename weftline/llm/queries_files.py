@@ -11,13 +11,14 @@ from pyspark.sql import types as T
 from weftline.llm import imatch, sharding, warc
 from weftline.llm.common import fresh_path, table
 
-#: The layout that is resharded: documents by their id's remainder, as 16 shards.
+#: The layout that is resharded: documents by their text's checksum, as 16 shards, which copies make unequal.
 OLD_SHARDS, NEW_SHARDS = 16, 24
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows, moves = sharding.reshard(docs, F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)), OLD_SHARDS, NEW_SHARDS)
+    old = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")) % OLD_SHARDS
+    rows, moves = sharding.reshard(docs, old, OLD_SHARDS, NEW_SHARDS)
     files = sharding.rewrite(rows, fresh_path(spark, "shards"), moves, all_shards=True)
     text = F.coalesce("text", F.lit(""))
     # what is asked of the texts is taken before the slots are joined, so texts aren't shuffled again

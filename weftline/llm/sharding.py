@@ -7,10 +7,14 @@ axis, block after block; the flow cuts that axis into one interval that stays an
 intervals that move, and a row follows the interval that its middle byte lies in.
 ``rewrite`` then writes the shards that gained or lost rows.
 
-Defined cases: a null text has no bytes; every row has 8 bytes besides its text, so
-empty ones spread too; rows that repeat lie next to each other on the axis; an
-empty table gives no rows; equal texts are not kept together, since the law here is
-that shard sizes are near equal; other columns are kept by ``rewrite``, but for
+Equal texts of an old shard lie next to each other on the axis and follow the
+interval of the middle of all of them, so they stay together, but for a group with
+over 1 / ``GROUP_SHARE`` of a new shard's bytes: its rows are spread one by one, as
+shard sizes have to be near equal and one group may be larger than a shard.
+
+Defined cases: a null text has no bytes and is the empty text; every row has 8 bytes
+besides its text, so empty ones spread too; rows that repeat are equal texts; an
+empty table gives no rows; other columns are kept by ``rewrite``, but for
 those that bear the names of the operator's own (``OWN``), which are dropped.
 """
 
@@ -23,7 +27,9 @@ from weftline.llm.common import fresh_path
 
 #: Bytes that a block should have, and blocks that an old shard has at least.
 BLOCK_BYTES, LEAST_BLOCKS = 32 << 20, 16
-OWN = ("_size", "_old", "_spread", "_block", "_row", "_upto", "_from", "_shard", "_slot", "_bytes", "_n", "_least", "_base")
+#: Groups of equal texts stay whole up to this part of a new shard's bytes, so a larger one is one of at most so many a shard.
+GROUP_SHARE = 64
+OWN = ("_group", "_large", "_first", "_last", "_size", "_old", "_spread", "_block", "_row", "_upto", "_from", "_shard", "_slot", "_bytes", "_n", "_least", "_base")
 
 
 def cheapest_moves(old: list[int], capacities: list[int]) -> list[list[int]]:
@@ -97,20 +103,26 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, id_col:
     """All columns with _size, _old, _block, _row (within the block) and _shard, and the moves in bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.drop(*OWN)
-    sized = docs.withColumns({"_size": F.octet_length(text).cast("long") + 8, "_old": old_shard.cast("int"), "_spread": F.xxhash64(F.col(id_col), F.crc32(F.encode(text, "utf-8")))})
+    sized = docs.withColumns({"_size": F.octet_length(text).cast("long") + 8, "_old": old_shard.cast("int"), "_group": F.xxhash64(text)})
     totals = {r["_old"]: r["bytes"] for r in sized.groupBy("_old").agg(F.sum("_size").alias("bytes")).collect()}
     old = [totals.get(i, 0) for i in range(n_old)]
     moves = cheapest_moves(old, capacities or [-(-sum(old) // n_new)] * n_new)
     cuts = intervals(moves)
     n_blocks = max(LEAST_BLOCKS, -(-max(old, default=0) // BLOCK_BYTES))
-    sized = sized.withColumn("_block", F.pmod("_spread", F.lit(n_blocks)).cast("int"))
+    least = sum(old) / (n_new * GROUP_SHARE)
+    large = sized.select("_group", "_size").groupBy("_group").agg(F.sum("_size").alias("_n")).where(F.col("_n") > least).select("_group", F.lit(True).alias("_large"))
+    sized = sized.join(F.broadcast(large), "_group", "left")  # fewer than n_new * GROUP_SHARE rows
+    alone = F.xxhash64(F.col(id_col), F.col("_group"))
+    sized = sized.withColumn("_spread", F.when(F.col("_large"), alone).otherwise(F.col("_group"))).withColumn("_block", F.pmod("_spread", F.lit(n_blocks)).cast("int")).drop("_group", "_large")
     blocks = sized.groupBy("_old", "_block").agg(F.sum("_size").alias("_bytes"))
     along = Window.partitionBy("_old").orderBy("_block")  # a row for each block
     blocks = blocks.select("_old", "_block", (F.sum("_bytes").over(along) - F.col("_bytes")).alias("_from"))
     inside = Window.partitionBy("_old", "_block").orderBy("_spread", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sized.withColumns({"_upto": F.sum("_size").over(inside), "_row": F.row_number().over(inside)}).join(blocks, ["_old", "_block"])
-    twice = 2 * (F.col("_from") + F.col("_upto")) - F.col("_size")
-    return rows.withColumn("_shard", _target(cuts, F.col("_old"), twice).cast("int")).drop("_upto", "_from", "_spread"), moves
+    rows = sized.withColumns({"_upto": F.sum("_size").over(inside), "_row": F.row_number().over(inside)})
+    together = Window.partitionBy("_old", "_block", "_spread")
+    rows = rows.withColumns({"_first": F.min(F.col("_upto") - F.col("_size")).over(together), "_last": F.max("_upto").over(together)}).join(blocks, ["_old", "_block"])
+    twice = 2 * F.col("_from") + F.col("_first") + F.col("_last")
+    return rows.withColumn("_shard", _target(cuts, F.col("_old"), twice).cast("int")).drop("_upto", "_from", "_spread", "_first", "_last"), moves
 
 
 def rewrite(rows: DataFrame, path: str, moves: list[list[int]], all_shards: bool = False) -> DataFrame:
