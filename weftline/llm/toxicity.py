@@ -156,11 +156,14 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
 
 
 def _weighted(x: np.ndarray, weight: np.ndarray, block: int = 2000) -> np.ndarray:
-    """Sum of weighted outer products of the rows, a block of rows at a time."""
-    out = np.zeros((x.shape[1], x.shape[1]))
+    """Sum of weighted outer products of the rows, a block of rows at a time; rows of one value at most, which are many, add to the diagonal."""
+    many = np.count_nonzero(x, axis=1) > 1
+    weight = weight.astype(x.dtype)
+    out = np.diag((x[~many] ** 2).T @ weight[~many]).astype(float)
+    x, weight = x[many], weight[many]
     for k in range(0, len(x), block):
         part = x[k : k + block]
-        out += (part * weight[k : k + block, None].astype(x.dtype)).T @ part
+        out += (part * weight[k : k + block, None]).T @ part
     return out
 
 
