@@ -54,3 +54,56 @@ def test_scores_ignore_other_columns(spark):
     docs = spark.createDataFrame([(1, "some text", "en")], "doc_id long, text string, lang string")
     voters = toxicity.Voters(["some"])
     assert toxicity.with_score(docs, voters).columns == ["doc_id", "text", "lang", "_score"]
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """Each stage's rule over the whole small table in plain Python; the fitted models are those that the stages fit."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from test_labels import brute_spans, toxic_rows
+    from test_near import brute
+    from weftline.llm import personal
+    from weftline.llm.queries_labels import held_out
+    from weftline.llm.queries_text import vocabulary
+
+    texts = {i: t for i, t, _ in toxic_rows(300)}
+    texts |= {1000 + k: texts[k] + (" more" if k % 2 else "") for k in range(1, 60)}
+    texts |= {2000 + k: f"mail me{k}@host.de or token = \"{zlib.crc32(b'%d' % k):08x}{zlib.crc32(b'x%d' % k):08x}{k:08d}\" now" for k in range(30)} | {3000: "", 3001: None}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, y, 1) for i, _, y in toxic_rows(300)], "doc_id long, toxic int, quality int")
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    voters = toxicity.fit(docs, labels.where(~held_out()))
+    clean = {i: t for i, t in texts.items() if voters.score(t or "") < 0.3}
+    assert 0 < len(clean) < len(texts)
+    classes = brute(list(clean.items()))
+    one = {i: t for i, t in clean.items() if classes[i][0] == i}
+    assert len(one) < len(clean)
+    model = personal.fit(spark.createDataFrame(list(one.items()), "doc_id long, text string"))
+
+    def redacted(text):
+        out, at = "", 0
+        for kind, a, b in ((k, int(a), int(b)) for k, a, b in (s.split(":") for s in brute_spans(text, model).split(",") if s)):
+            if a >= at:
+                out += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        return out + text[at:]
+
+    own = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    ids = {i: [*own.encode(redacted(t) if t else "", add_special_tokens=False).ids, 1] for i, t in one.items()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(ids)
+    for i, expected in ids.items():
+        pieces = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+        assert pieces[0].start == 0 and sum(r.length for r in pieces) == len(expected) == pieces[0].doc_tokens
+        assert all(r.ids_crc32 == zlib.crc32(np.array(expected[r.start : r.start + r.length], dtype="<u4").tobytes()) for r in pieces)
+    by_window = {}
+    for r in got:
+        by_window.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_window.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
