@@ -156,17 +156,31 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
 
 
 def _weighted(x: np.ndarray, weight: np.ndarray, block: int = 2000) -> np.ndarray:
-    """Sum of weighted outer products of the rows, a block of rows at a time; rows of one value at most, which are many, add to the diagonal."""
+    """Sum of weighted outer products of the rows; rows of one value at most, which are many, add to the diagonal.
+
+    No more than a block of rows is copied at a time.
+    """
     many = np.count_nonzero(x, axis=1) > 1
     weight = weight.astype(x.dtype)
-    out = np.diag((x[~many] ** 2).T @ weight[~many]).astype(float)
-    x, weight = x[many], weight[many]
-    for k in range(0, len(x), block):
-        part = x[k : k + block]
-        out += (part * weight[k : k + block, None]).T @ part
+    out, line = np.zeros((x.shape[1], x.shape[1]), dtype=x.dtype), np.zeros(x.shape[1])
+    for rows, full in ((np.flatnonzero(~many), False), (np.flatnonzero(many), True)):
+        for k in range(0, len(rows), block):
+            at = rows[k : k + block]
+            part = x[at]
+            if full:
+                out += (part * weight[at, None]).T @ part
+            else:
+                line += weight[at] @ (part * part)
+    out = out.astype(float)
+    out[np.diag_indices_from(out)] += line
     return out
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` without a copy of ``x`` in the vector's type."""
+    return (x @ w.astype(x.dtype)).astype(float)
+
+
 def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 25, correlated: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior, log evidence of each voter's vote, share of it that is its own).
 
@@ -182,7 +196,7 @@ def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 25, correlat
     for _ in range(rounds):
         weights = (post, 1 - post)
         totals = [max(float(w.sum()), 1e-9) for w in weights]
-        fired = [(votes.T @ w.astype(votes.dtype)).astype(float) for w in weights]
+        fired = [_times(votes.T, w) for w in weights]
         evidence = np.log((fired[0] + 0.5) / (totals[0] + 1)) - np.log((fired[1] + 0.5) / (totals[1] + 1))
         if correlated:
             shared = np.zeros((votes.shape[1], votes.shape[1]))
@@ -194,7 +208,7 @@ def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 25, correlat
         rate = lambda mark, least: [(mark @ w + least) / (total + 2 * least) for w, total in zip(weights, totals, strict=True)]
         yes, none = rate(human, 1.0), rate(quiet, 0.5)
         said = np.where(human > 0, math.log(yes[0] / yes[1]), math.log((1 - yes[0]) / (1 - yes[1])))
-        odds = math.log(totals[0] / totals[1]) + votes @ (evidence * own) + said + quiet * math.log(none[0] / none[1])
+        odds = math.log(totals[0] / totals[1]) + _times(votes, evidence * own) + said + quiet * math.log(none[0] / none[1])
         before, post = post, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(post - before).max() < 1e-3:
             break
@@ -205,12 +219,12 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int
     """Weights of a ridge logistic regression on soft targets, by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (target - p) - ridge * w
+        p = 1 / (1 + np.exp(-np.clip(_times(x, w), -30, 30)))
+        grad = _times(x.T, target - p) - ridge * w
         hess = _weighted(x, p * (1 - p) + 1e-6) + ridge * np.eye(x.shape[1])  # symmetric, positive
         step = np.linalg.solve(hess, grad)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
