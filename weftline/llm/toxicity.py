@@ -41,7 +41,7 @@ from weftline.llm.common import texts, written
 #: Labelled rows that are learned from at most, lengths of word beginnings.
 MOST_ROWS, STEMS = 20_000, (4, 5, 6)
 #: Toxic rows in which a term must occur, as a share and at least, and how many times commoner it must be in toxic rows.
-LEAST_SHARE, LEAST_ROWS, LEAST_RATIO = 0.0025, 3, 4.0
+LEAST_SHARE, LEAST_ROWS, LEAST_RATIO = 0.004, 3, 4.0
 WORD = re.compile(r"\w+")
 # Pattern voters.
 PATTERNS = (r"!{2,}", r"\b[A-Z]{4,}\b", r"(?i)\byou(?:'re| are)? (?:an?|such|all)\b", r"[@#$%&*]{3,}", r"(?i)\b(?:shut up|hate you|go away)\b")
