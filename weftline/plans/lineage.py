@@ -35,11 +35,16 @@ def named() -> list[str]:
     return list(_NAMED)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``fresh_path`` gave, in whichever store it is."""
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whichever store it is."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh_path`` gave."""
+    delete(spark, path)
     if path in _NAMED:
         _NAMED.remove(path)
 
@@ -58,3 +63,32 @@ def written(df: DataFrame, tag: str = "cut", partition_by: tuple[str, ...] = ())
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The intermediate tables of one query, by name in a folder of its own.
+
+    They are kept with their query, so queries that run side by side don't meet.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder, self.paths = spark, fresh_path(spark, tag), {}
+
+    def path(self, name: str) -> str:
+        self.paths[name] = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        return self.paths[name]
+
+    def written(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """``df`` computed once, as the table ``name``."""
+        path = self.path(name)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            delete(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        discard(self.spark, self.folder)
