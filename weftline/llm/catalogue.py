@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": queries_text.op8_packing,
     "op9_licence_scan": queries_labels.op9_licence_scan,
     "op10_ngram_join": queries_near.op10_ngram_join,
+    "op11_yinyang": queries_near.op11_yinyang,
+    "op12_fill_in_middle": queries_text.op12_fill_in_middle,
+    "op13_chat_format": queries_text.op13_chat_format,
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import clean_up, discard, fresh_path, named, shared_dir, written
+from weftline.plans.lineage import Scratch, clean_up, discard, fresh_path, named, shared_dir, written
 
-__all__ = ["HOT_SHARE", "clean_up", "discard", "free_name", "fresh_path", "left_join_hot", "named", "shared_dir", "table", "texts", "written"]
+__all__ = ["HOT_SHARE", "Scratch", "clean_up", "discard", "free_name", "fresh_path", "left_join_hot", "named", "shared_dir", "table", "texts", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
