@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import analytics, graph, imports, indexing
 from weftline.sources import readers
+from weftline.sources.keyed import KeyedTable
 from weftline.streaming import sessions
 
 
@@ -164,5 +165,7 @@ def test_streams(spark, tmp_path):
     for n, seq in (("one", 1), ("two", 2)):
         spark.createDataFrame([("a", n, seq), (n, n, seq)], "path string, hash string, seq int").write.mode("append").parquet(str(tmp_path / "changes"))
         changes = spark.readStream.schema("path string, hash string, seq int").parquet(str(tmp_path / "changes"))
-        sessions.upsert_stream(changes, str(tmp_path / "out"), str(tmp_path / "check")).start().awaitTermination()
-    assert {r.path: r.hash for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()} == {"a": "two", "one": "one", "two": "two"}
+        into = KeyedTable(spark, str(tmp_path / "out"), ("path",), buckets=8)
+        sessions.upsert_stream(changes, into, str(tmp_path / "check")).start().awaitTermination()
+    assert {r.path: r.hash for r in into.read().collect()} == {"a": "two", "one": "one", "two": "two"}
+    assert sum(len(v) for v in into.version()["buckets"].values()) <= 4  # two keys a batch, a bucket each at most

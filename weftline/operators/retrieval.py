@@ -39,13 +39,18 @@ def bm25(docs: DataFrame, terms: list[str], fields: dict[str, float], every: boo
     size = reduce(lambda a, b: a + b, [F.greatest(F.length(low[c]) - 2, F.lit(0)) for c in fields])
     counted = docs.withColumns(tf | {"_size": size})
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_size").alias("_mean"), *[F.count_if(F.col(c) > 0).alias(f"_df{k}") for k, c in enumerate(tf)])
+    return bm25_scores(counted, stats, list(tf), len(usable) == len(dict.fromkeys(terms)), every)
+
+
+def bm25_scores(counted: DataFrame, stats: DataFrame, tf: list[str], all_usable: bool, every: bool) -> DataFrame:
+    """Rows with a count of a term, scored; ``stats`` is one row of the number of rows, their mean size and each term's rows."""
     scored = counted.where(reduce(lambda a, b: a | b, [F.col(c) > 0 for c in tf])).crossJoin(F.broadcast(stats))
     parts = []
     for k, c in enumerate(tf):
         idf = F.log((F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))
         idf = F.when(idf > 0, idf).otherwise(1e-6)
         parts.append(idf * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("_size") / F.col("_mean"))))
-    full = reduce(lambda a, b: a & b, [F.col(c) > 0 for c in tf]) & F.lit(len(usable) == len(dict.fromkeys(terms)))
+    full = reduce(lambda a, b: a & b, [F.col(c) > 0 for c in tf]) & F.lit(all_usable)
     out = scored.withColumns({"score": reduce(lambda a, b: a + b, parts), "matched_all": full})
     out = out.where("matched_all") if every else out
     return out.drop(*tf, "_size", "_n", "_mean", *[f"_df{k}" for k in range(len(tf))])

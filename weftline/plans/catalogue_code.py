@@ -119,10 +119,13 @@ _FIELDED = "low AS (SELECT doc_id, lower(lang || ' license') AS symbols, lower(s
 
 @query(f"WITH {_FIELDED}, {_bm25_sql(FIELDS, 'low', 'doc_id')} SELECT doc_id, round(score, 6) AS score, matched_all FROM scored")
 def bm25_weighted_fields(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
+    return retrieval.bm25(fielded(spark, sf), TERMS, FIELDS).select("doc_id", F.round("score", 6).alias("score"), "matched_all")
+
+
+def fielded(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(
         "doc_id", F.concat("lang", F.lit(" license")).alias("symbols"), F.concat("source", F.lit(" > ering "), F.col("doc_id").cast("string")).alias("breadcrumb"), F.col("text").alias("body"), F.when(F.col("doc_id") % 4 == 0, "thion license").otherwise("").alias("comments")
     )
-    return retrieval.bm25(docs, TERMS, FIELDS).select("doc_id", F.round("score", 6).alias("score"), "matched_all")
 
 
 _OVER = " + ".join(f"CASE WHEN contains(t, '{w}') THEN CASE WHEN regexp_matches(t, '\\b{w}\\b') THEN 1.0 ELSE 0.5 END ELSE 0.0 END" for w in TERMS)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from weftline.operators.indexing import last_wins
+from weftline.sources.keyed import KeyedTable
 
 
 def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "30 minutes", late: str | None = None) -> DataFrame:
@@ -25,19 +25,15 @@ def windowed_counts(events: DataFrame, kind: str = "event_type", ts: str = "ts",
     return rows.groupBy(window, kind).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), kind, "events", "total")
 
 
-def upsert_stream(changes: DataFrame, root: str, checkpoint: str, key: str = "path", order: str = "seq") -> DataStreamWriter:
-    """A writer that turns each batch of changes into the next snapshot below ``root``.
+def upsert_stream(changes: DataFrame, into: KeyedTable, checkpoint: str, order: str = "seq") -> DataStreamWriter:
+    """A writer that puts each batch of changes into a table as deltas of the buckets of its keys.
 
-    A batch writes version n from version n - 1, so a batch that runs again writes
-    the same version.
+    The table notes the batch's number with its version, so a batch that runs again
+    changes nothing; buckets with many deltas are written anew after a batch.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        newest = last_wins(batch, key, order)
-        if n:
-            old = spark.read.parquet(f"{root}/v{n - 1}")
-            newest = old.join(newest.select(key), key, "left_anti").unionByName(newest)
-        newest.write.mode("overwrite").parquet(f"{root}/v{n}")
+        into.upsert(batch, order, batch=n)
+        into.compact()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True)
