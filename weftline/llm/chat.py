@@ -208,7 +208,7 @@ def best_paths(tree: DataFrame, per_tree: int, tables: Scratch) -> DataFrame:
     """(path, rank, length, pos, conv, node) of each message of the best ``per_tree`` paths of each tree; pos is 1 at the root."""
     tree = tables.written(tree, "tree")
     ends, jumps = climbed(tree, tables)
-    leaves = ends.join(tree.where(F.col("up").isNotNull()).select(F.col("up").alias("n")).distinct(), "n", "left_anti")
+    leaves = ends.join(jumps[0][0].select(F.col("up").alias("n")).distinct(), "n", "left_anti") if jumps else ends
     mean = (F.col("total") / F.col("length")).alias("mean")
     ranked = leaves.select("n", "top", mean, "length")
     if per_tree == 1:  # one row a tree, added up before the shuffle
