@@ -89,6 +89,28 @@ for _language in SOURCES:
     QUERIES[f"imports_{_language}"] = _imports_of(_language)
     ORACLE_SQL[f"imports_{_language}"] = _imports_sql(_language)
 
+# Half of the files in one folder, the rest in several, some at the root; imports differ by file, in comments and strings there are none.
+_UNEVEN_PATH = "CASE WHEN doc_id % 5 = 0 THEN 'tools' WHEN doc_id % 2 = 0 THEN 'app/core/lib' WHEN doc_id % 11 = 3 THEN 'app/m' || doc_id % 7 || '/deep/core/lib' ELSE 'app/m' || doc_id % 7 || '/core/lib' END || '/M' || doc_id || CASE WHEN doc_id % 13 = 1 THEN '_test.go' ELSE '.go' END"
+_UNEVEN_TEXT = """CASE doc_id % 4 WHEN 0 THEN 'import "core/lib"' || chr(10) WHEN 1 THEN 'package p' || chr(10) || 'import x "app/m' || doc_id % 9 || '/core"' || chr(10) WHEN 2 THEN 'var s = "import \"core/lib\""' || chr(10) ELSE 'import "lib' || doc_id % 3 || '/none"' || chr(10) || 'import "m' || doc_id % 7 || '/core/lib"' END"""
+_SHARED = "len(list_filter(generate_series(1, least(len(string_split(a, '/')), len(string_split(b, '/')))), lambda k: string_split(a, '/')[1 : k] = string_split(b, '/')[1 : k] AND a <> ''))"
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, {_UNEVEN_PATH} AS path, {_UNEVEN_TEXT} AS content FROM documents), g AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, path LIKE '%\_test.go' ESCAPE '\' AS test FROM f),
+    i AS (SELECT DISTINCT path AS from_path, folder AS a, unnest(regexp_extract_all(content, '(?m)^import (?:x )?"([^"]+)"', 1)) AS import FROM g), d AS (SELECT folder AS b, min(path) FILTER (NOT test) AS plain, min(path) AS any_path FROM g GROUP BY folder),
+    asked AS (SELECT DISTINCT a, import FROM i), s AS (SELECT a, import, coalesce(plain, any_path) AS to_path, plain IS NULL AS test, {_SHARED} AS shared FROM asked JOIN d ON contains('/' || b || '/', '/' || import || '/')),
+    best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a, import ORDER BY test, shared DESC, to_path) = 1) SELECT from_path, import, to_path FROM i JOIN best USING (a, import)"""
+)
+def imports_uneven_tree(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    own = lambda n: (d % n).cast("string")
+    folder = F.when(d % 5 == 0, "tools").when(d % 2 == 0, "app/core/lib").when(d % 11 == 3, F.concat(F.lit("app/m"), own(7), F.lit("/deep/core/lib"))).otherwise(F.concat(F.lit("app/m"), own(7), F.lit("/core/lib")))
+    path = F.concat(folder, F.lit("/M"), d.cast("string"), F.when(d % 13 == 1, "_test.go").otherwise(".go"))
+    content = F.when(d % 4 == 0, 'import "core/lib"\n').when(d % 4 == 1, F.concat(F.lit('package p\nimport x "app/m'), own(9), F.lit('/core"\n'))).when(d % 4 == 2, 'var s = "import \\"core/lib\\""\n').otherwise(F.concat(F.lit('import "lib'), own(3), F.lit('/none"\nimport "m'), own(7), F.lit('/core/lib"')))
+    rows = table(spark, sf, "documents").select(path.alias("path"), content.alias("content"))
+    return imports.resolved(rows).select("from_path", "import", "to_path")
+
+
 _NUMBERED = "a.doc_id::VARCHAR"
 
 
