@@ -203,9 +203,90 @@ def noisy_human(truth, share=0.12, seed=9):
     return np.where(np.random.default_rng(seed).random(len(truth)) < share, ~truth, truth).astype(float)
 
 
+def sparse(matrix):
+    at = [np.flatnonzero(r).astype(np.int32) for r in matrix]
+    return toxicity.Sparse(at, matrix.shape[1], [r[k].astype(float) for r, k in zip(matrix, at, strict=True)])
+
+
+def dense_label_model(votes, human, rounds=25):
+    """The same model with whole matrices."""
+    quiet = votes.sum(axis=1) == 0
+    post = np.where(human > 0, np.where(quiet, 0.5, 0.9), 0.05)
+    for _ in range(rounds):
+        weights = [post, 1 - post]
+        totals = [w.sum() for w in weights]
+        evidence = np.log((votes.T @ post + 0.5) / (totals[0] + 1)) - np.log((votes.T @ (1 - post) + 0.5) / (totals[1] + 1))
+        shared = 0
+        for w, t in zip(weights, totals, strict=True):
+            mean = votes.T @ w / t
+            cov = (votes * w[:, None]).T @ votes / t - np.outer(mean, mean)
+            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+            shared = shared + np.maximum(cov / np.outer(sd, sd), 0).sum(axis=1) / 2
+        own = 1 / np.maximum(1, shared)
+        rate = lambda m, least: [(m @ w + least) / (t + 2 * least) for w, t in zip(weights, totals, strict=True)]
+        yes, none = rate(human, 1.0), rate(quiet, 0.5)
+        said = np.where(human > 0, np.log(yes[0] / yes[1]), np.log((1 - yes[0]) / (1 - yes[1])))
+        before, post = post, 1 / (1 + np.exp(-np.clip(np.log(totals[0] / totals[1]) + votes @ (evidence * own) + said + quiet * np.log(none[0] / none[1]), -30, 30)))
+        if np.abs(post - before).max() < 1e-3:
+            break
+    return post, evidence, own
+
+
+def dense_logistic(x, target, rounds=50):
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.eye(x.shape[1]), x.T @ (target - p) - w)
+    return w
+
+
+def test_sparse_model_equals_whole_matrices():
+    votes, truth = weak_votes(2000)
+    votes = np.concatenate([votes, np.zeros((2000, 1))], axis=1)  # and a voter that never fires
+    human = noisy_human(truth)
+    for a, b in zip(toxicity.label_model(sparse(votes), human), dense_label_model(votes.astype(float), human), strict=True):
+        assert np.allclose(a, b, atol=1e-9)
+    x = np.concatenate([votes, np.random.default_rng(3).random((2000, 2)), np.ones((2000, 1))], axis=1).astype(float)
+    target = toxicity.label_model(sparse(votes), human)[0]
+    assert np.allclose(toxicity.logistic(sparse(x), target), dense_logistic(x, target), atol=1e-4)
+
+
+def test_scores_equal_brute_force(spark, data):
+    """Lexicon by counting, votes, model and classifier with whole matrices, over the rows that may be learned from."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    labels = {r.doc_id: int(r.toxic > 0) for r in spark.read.parquet(f"{data}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.toxic is not None}
+    rows = [(texts[i], y) for i, y in labels.items() if i in texts]
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+    counts = [toxicity.Counter(t for text, y in rows if y == k for t in toxicity.terms_of(text)) for k in (0, 1)]
+    found = {t: (c, counts[0][t]) for t, c in counts[1].items() if c >= 3 and c / n[1] >= 4.0 * (counts[0][t] + 0.5) / n[0]}
+    begins = lambda t: ["^" + t.lstrip("^")[:k] for k in (4, 5, 6) if len(t.lstrip("^")) > k]
+    terms = {t for t, c in found.items() if all(found.get(b) != c for b in begins(t))}
+    got = queries_labels.op1_toxicity(spark, data).collect()
+    voters = toxicity.Voters(sorted(terms))
+    matrix = np.zeros((len(rows), voters.width))
+    for k, (text, _) in enumerate(rows):
+        at, values = voters.row(voters.votes(text))
+        matrix[k, at] = values
+    post, *_ = dense_label_model(matrix[:, : len(terms) + len(toxicity.PATTERNS)], np.array([y for _, y in rows], dtype=float))
+    voters.weights = dense_logistic(matrix, post)
+    assert max(abs(r.score - voters.score(texts[r.doc_id])) for r in got) < 1e-3
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "b"), (2, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert sorted(tuple(r) for r in toxicity.training_rows(docs, labels, 5).collect()) == [("a", 0), ("text 0", 1)]
+
+
+def test_support_does_not_grow_with_the_sample(spark):
+    rows = [(f"common wort{k} " + ("rareterm" if k < 3 else "schimpf"), 1) for k in range(2000)] + [(f"plain wort{k}", 0) for k in range(3000)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {"^rare", "^schi"} <= set(terms)
+
+
 def test_label_model_discounts_copied_votes():
     votes, truth = weak_votes()
-    _, _, own = toxicity.label_model(votes, noisy_human(truth))
+    _, _, own = toxicity.label_model(sparse(votes), noisy_human(truth))
     assert own[:4].max() < 0.4 < 0.6 < own[4:8].min()
 
 
@@ -214,7 +295,7 @@ def test_posterior_labels_mend_human_labels():
         votes, truth = weak_votes(seed=seed)
         human = noisy_human(truth, seed=seed)
         right = lambda guess: (guess == truth).mean()
-        post, _, _ = toxicity.label_model(votes, human)
+        post, _, _ = toxicity.label_model(sparse(votes), human)
         assert right(post > 0.5) > right(human > 0) + 0.005 and right(post > 0.5) >= right(votes.sum(axis=1) >= 1)
         assert ((post > 0.5) == truth)[(human > 0) != truth].mean() > 0.9
 

@@ -11,15 +11,18 @@ Human labels pick the lexicon and are, on the labelled sample, one more voter wh
 error rates the model estimates: where they are wrong, other votes outweigh them.
 Without that vote, posterior labels were worse on every lexicon tried (of sf0.1, 40
 to 150 clean texts in 2661 wrong, or 30 to 60 toxic ones in 329), so it stays.
-The sample of labelled rows is bounded by ``most_rows``; which
-terms become voters follows from their support and ratio, without a limit.
+The sample of labelled rows is bounded by ``most_rows``; which terms become voters
+follows from their support, the same three rows whatever the sample's size, and their
+ratio. The driver holds the sample's votes as lists of those that fire, never a matrix
+of rows by voters or of voters by voters.
 Scoring reads all documents and needs no shuffle. A score never sees labels,
 language, source or id.
 
 Defined cases: a null text is the empty text, which scores as a text without any
 vote; labels that are null or of unknown documents are ignored, repeated labels of
-a document count as the largest; without usable labels every score is 0; a row that
-repeats gives a row that repeats; other columns are dropped.
+a document count as the largest, and of rows that repeat an id the first by text is
+learned from; without usable labels every score is 0; a row that repeats gives a row
+that repeats; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ from weftline.llm.common import texts, written
 
 #: Labelled rows that are learned from at most, lengths of word beginnings.
 MOST_ROWS, STEMS = 20_000, (4, 5, 6)
-#: Toxic rows in which a term must occur, as a share and at least, and how many times commoner it must be in toxic rows.
-LEAST_SHARE, LEAST_ROWS, LEAST_RATIO = 0.004, 3, 4.0
+#: Toxic rows in which a term must occur, and how many times commoner it must be in toxic rows.
+LEAST_ROWS, LEAST_RATIO = 3, 4.0
 WORD = re.compile(r"\w+")
 # Pattern voters.
 PATTERNS = (r"!{2,}", r"\b[A-Z]{4,}\b", r"(?i)\byou(?:'re| are)? (?:an?|such|all)\b", r"[@#$%&*]{3,}", r"(?i)\b(?:shut up|hate you|go away)\b")
@@ -111,20 +114,19 @@ class Voters:
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(text, toxic) of at most ``most_rows`` labelled documents, picked by a hash of their ids.
 
-    The picked labels, at most ``most_rows`` pairs of numbers, are broadcast, so the
-    documents aren't shuffled.
+    The picked labels, at most ``most_rows`` pairs of numbers, are broadcast, so of
+    the documents only the picked ones are shuffled, one for each id.
     """
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     picked = picked.orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
-    return texts(docs, id_col, text_col).join(F.broadcast(picked), id_col).select(F.col(text_col).alias("text"), "toxic")
+    return texts(docs, id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col).agg(F.min(text_col).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def learn_lexicon(rows: DataFrame) -> list[str]:
     """Terms far commoner in toxic rows, strongest first.
 
-    The driver gets those terms: each occurs in at least ``LEAST_SHARE`` of the toxic
-    rows, so there are at most 1 / ``LEAST_SHARE`` times as many as a toxic text of
-    the sample has on average.
+    The driver gets those terms: each occurs in at least ``LEAST_ROWS`` toxic rows of
+    the sample, so there are at most a third of the terms that those rows hold.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +146,6 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     total = counts.where("term = ''").first()
     if total is None or not total["toxic"] or not total["clean"]:
         return []
-    counts = counts.where(F.col("toxic") >= LEAST_SHARE * total["toxic"])
     p, q = F.col("toxic") / F.lit(float(total["toxic"])), (F.col("clean") + 0.5) / F.lit(float(total["clean"]))
     # log-likelihood gain of telling the classes apart by the term
     gain = F.col("toxic") * F.log(p / q)
@@ -155,33 +156,49 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     return [t for t, support in found.items() if all(found.get(s) != support for s in shorter(t))]
 
 
-def _weighted(x: np.ndarray, weight: np.ndarray, block: int = 2000) -> np.ndarray:
-    """Sum of weighted outer products of the rows; rows of one value at most, which are many, add to the diagonal.
+class Sparse:
+    """A matrix by the entries of its rows."""
 
-    No more than a block of rows is copied at a time.
-    """
-    many = np.count_nonzero(x, axis=1) > 1
-    weight = weight.astype(x.dtype)
-    out, line = np.zeros((x.shape[1], x.shape[1]), dtype=x.dtype), np.zeros(x.shape[1])
-    for rows, full in ((np.flatnonzero(~many), False), (np.flatnonzero(many), True)):
-        for k in range(0, len(rows), block):
-            at = rows[k : k + block]
-            part = x[at]
-            if full:
-                out += (part * weight[at, None]).T @ part
-            else:
-                line += weight[at] @ (part * part)
-    out = out.astype(float)
-    out[np.diag_indices_from(out)] += line
-    return out
+    def __init__(self, rows: list[np.ndarray], width: int, values: list[np.ndarray] | None = None):
+        self.rows, self.width = rows, width
+        self.at = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
+        self.of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self.values = np.ones(len(self.at)) if values is None else np.concatenate([np.zeros(0), *values])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, weights=w[self.at] * self.values, minlength=len(self.rows))
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        """The transposed matrix times a vector."""
+        return np.bincount(self.at, weights=v[self.of] * self.values, minlength=self.width)
 
+    def columns(self) -> list[np.ndarray]:
+        """The rows in which each column has an entry."""
+        order = np.argsort(self.at, kind="stable")
+        return np.split(self.of[order], np.cumsum(np.bincount(self.at, minlength=self.width))[:-1])
 
-def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """``x @ w`` without a copy of ``x`` in the vector's type."""
-    return (x @ w.astype(x.dtype)).astype(float)
+
+def _shared(votes: Sparse, columns: list[np.ndarray], weights: tuple[np.ndarray, ...], totals: list[float], fired: list[np.ndarray]) -> np.ndarray:
+    """By voter, the sum of its positive correlations with all voters, itself included, as the mean over both classes.
+
+    A voter meets those that fire in one of its rows; any other can't correlate
+    positively. So one voter's row of the correlations is held at a time.
+    """
+    out = np.zeros(votes.width)
+    rates = [f / t for f, t in zip(fired, totals, strict=True)]
+    sds = [np.sqrt(np.maximum(p - p * p, 1e-9)) for p in rates]
+    for k, rows in enumerate(columns):
+        if not len(rows):
+            continue
+        beside = [votes.rows[r] for r in rows]
+        others, n = np.concatenate(beside), [len(x) for x in beside]
+        for w, total, p, sd in zip(weights, totals, rates, sds, strict=True):
+            both = np.bincount(others, weights=np.repeat(w[rows], n), minlength=votes.width) / total
+            out[k] += np.maximum((both - p[k] * p) / (sd[k] * sd), 0).sum() / 2
+    return out
 
 
-def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 25, correlated: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: Sparse, human: np.ndarray, rounds: int = 25, correlated: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior, log evidence of each voter's vote, share of it that is its own).
 
     ``votes`` is rows by voters; a silent voter abstains, and rows where all abstain
@@ -190,39 +207,44 @@ def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 25, correlat
     voters share their evidence. The human label is one more vote, with error rates
     of its own that are estimated like the others, and the start.
     """
-    quiet = votes.sum(axis=1) == 0
+    quiet, columns = votes.times(np.ones(votes.width)) == 0, votes.columns()
     post = np.where(human > 0, np.where(quiet, 0.5, 0.9), 0.05)
-    own, evidence = np.ones(votes.shape[1]), np.zeros(votes.shape[1])
+    own, evidence = np.ones(votes.width), np.zeros(votes.width)
     for _ in range(rounds):
         weights = (post, 1 - post)
         totals = [max(float(w.sum()), 1e-9) for w in weights]
-        fired = [_times(votes.T, w) for w in weights]
+        fired = [votes.back(w) for w in weights]
         evidence = np.log((fired[0] + 0.5) / (totals[0] + 1)) - np.log((fired[1] + 0.5) / (totals[1] + 1))
         if correlated:
-            shared = np.zeros((votes.shape[1], votes.shape[1]))
-            for w, total, f in zip(weights, totals, fired, strict=True):
-                cov = _weighted(votes, w) / total - np.outer(f / total, f / total)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                shared += np.maximum(cov / np.outer(sd, sd), 0) / 2
-            own = 1.0 / np.maximum(1.0, shared.sum(axis=1))
+            own = 1.0 / np.maximum(1.0, _shared(votes, columns, weights, totals, fired))
         rate = lambda mark, least: [(mark @ w + least) / (total + 2 * least) for w, total in zip(weights, totals, strict=True)]
         yes, none = rate(human, 1.0), rate(quiet, 0.5)
         said = np.where(human > 0, math.log(yes[0] / yes[1]), math.log((1 - yes[0]) / (1 - yes[1])))
-        odds = math.log(totals[0] / totals[1]) + _times(votes, evidence * own) + said + quiet * math.log(none[0] / none[1])
+        odds = math.log(totals[0] / totals[1]) + votes.times(evidence * own) + said + quiet * math.log(none[0] / none[1])
         before, post = post, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(post - before).max() < 1e-3:
             break
     return post, evidence, own
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression on soft targets, by Newton's method."""
-    w = np.zeros(x.shape[1])
+def logistic(x: Sparse, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Weights of a ridge logistic regression on soft targets, by Newton's method; each step is solved by conjugate gradients."""
+    w = np.zeros(x.width)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(_times(x, w), -30, 30)))
-        grad = _times(x.T, target - p) - ridge * w
-        hess = _weighted(x, p * (1 - p) + 1e-6) + ridge * np.eye(x.shape[1])  # symmetric, positive
-        step = np.linalg.solve(hess, grad)
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+        curve = p * (1 - p) + 1e-6
+        left = x.back(target - p) - ridge * w
+        step, way, size = np.zeros(x.width), left.copy(), float(left @ left)
+        least = 1e-16 * max(size, 1e-12)
+        for _ in range(200):
+            if size <= least:
+                break
+            turned = x.back(curve * x.times(way)) + ridge * way
+            length = size / float(way @ turned)
+            step += length * way
+            left = left - length * turned
+            size, before = float(left @ left), size
+            way = left + size / before * way
         w += step
         if np.abs(step).max() < 1e-4:
             break
@@ -242,13 +264,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **names:
     if not voters.terms:
         return voters
     sample = rows.mapInArrow(vote, "fired array<int>, hits int, words int, toxic int").toArrow()  # at most most_rows short rows
-    x = np.zeros((sample.num_rows, voters.width), dtype=np.float32)
-    for k, (fired, hits, words) in enumerate(zip(*(sample.column(c).to_pylist() for c in ("fired", "hits", "words")), strict=True)):
-        at, values = voters.row((fired, hits, words))
-        x[k, at] = values
-    human = sample.column("toxic").to_numpy().astype(float)
-    votes = x[:, : len(voters.terms) + len(PATTERNS)]
-    post, _, _ = label_model(votes, human)
+    found = [voters.row(v) for v in zip(*(sample.column(c).to_pylist() for c in ("fired", "hits", "words")), strict=True)]
+    x = Sparse([np.array(at, dtype=np.int32) for at, _ in found], voters.width, [np.array(values) for _, values in found])
+    n_votes = len(voters.terms) + len(PATTERNS)
+    votes = Sparse([r[r < n_votes] for r in x.rows], n_votes)
+    post, _, _ = label_model(votes, sample.column("toxic").to_numpy().astype(float))
     voters.weights, voters.posterior_share = logistic(x, post), float(post.mean())
     return voters
 
