@@ -36,8 +36,9 @@ def test_search_document(spark):
 
 def test_python_chunks(spark):
     text = "import os\n\n" + "".join(f"class C{k}:\n" + "".join(f"    def m{j}(self):\n        return '{'x' * 60}'\n\n" for j in range(12)) for k in range(3))
-    rows = spark.createDataFrame([("a.py", "python", text), ("bad.py", "python", "def ("), ("c.ts", "typescript", "x")], "path string, language string, content string")
-    got = chunking.semantic_chunks(rows).orderBy("chunk_index").collect()
+    rows = spark.createDataFrame([("a.py", "python", text), ("bad.py", "python", "def ("), ("c.md", "markdown", "x")], "path string, language string, content string")
+    assert [(r.path, r.raw_end) for r in chunking.semantic_chunks(rows).where("path <> 'a.py'").collect()] == [("bad.py", 5)]
+    got = chunking.semantic_chunks(rows).where("path = 'a.py'").orderBy("chunk_index").collect()
     assert {r.path for r in got} == {"a.py"} and len(got) > 3
     assert "".join(text[r.raw_start : r.raw_end] for r in got) == text
     assert any("class C1 > def m" in r.breadcrumb for r in got) and all(r.vec_start <= r.raw_start for r in got)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions import nesting
 from weftline.functions.text import symbol_tokens
 
 # Largest and least size of a chunk and overlap, in non-space characters, by profile.
@@ -97,45 +98,101 @@ def _size(text: str) -> int:
     return len(text.translate(str.maketrans("", "", " \t\r\n")))
 
 
-@register("python")
-def python_chunks(path: str, text: str, most: int, least: int) -> list[tuple[int, int, str]]:
-    """Definitions as chunks: too large ones are split at their own definitions, small neighbours join."""
-    tree = ast.parse(text)
-    starts = [0]
-    for line in text.split("\n"):
-        starts.append(starts[-1] + len(line) + 1)
-    found: list[tuple[int, int, str]] = []
-
-    def visit(nodes: list[ast.stmt], begin: int, end: int, crumb: str) -> None:
-        edges = [begin]
-        for node in nodes[1:]:
-            first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
-            edges.append(max(edges[-1], min(starts[first - 1], end)))
-        for node, a, b in zip(nodes, edges, [*edges[1:], end], strict=True):
-            named = isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef)
-            own = f"{crumb} > {'class' if isinstance(node, ast.ClassDef) else 'def'} {node.name}" if named else crumb
-            inner = getattr(node, "body", None)
-            if _size(text[a:b]) > most and named and inner:
-                head = starts[inner[0].lineno - 1]
-                visit(inner, a if head <= a else a, b, own)
-            elif found and a < b and found[-1][2] == own and _size(text[found[-1][0] : b]) <= most:
-                found[-1] = (found[-1][0], b, own)
-            elif found and a < b and _size(text[a:b]) < least and _size(text[found[-1][0] : b]) <= most * 0.7:
-                found[-1] = (found[-1][0], b, found[-1][2])
-            elif a < b:
-                found.append((a, b, own))
-
-    if tree.body:
-        visit(tree.body, 0, len(text), path)
-    return found or [(0, len(text), path)]
+#: Share of a budget for windows of unlike breadcrumbs, and more for a tiny window; characters a chunk may have for each non-space one.
+UNLIKE, TINY, RAW = 0.7, 1.5, 4
+
+
+@dataclass
+class _Window:
+    """Neighbouring pieces of a text that make a chunk: start, end and whether it is a comment, of each."""
+
+    pieces: list[tuple[int, int, bool]]
+    size: int
+    crumb: tuple[str, ...]
+
+
+def _windows(t: nesting.Tokens, node: nesting.Node, crumb: tuple[str, ...], size, most: int, least: int) -> list[_Window]:
+    """A node that fits, or its parts: what stands before, between and after its blocks' statements, and those split in turn."""
+    if node.name is not None:
+        crumb = (*crumb, f"{node.prefix}{node.name}")
+    whole = [_Window([(node.start, node.end, node.comment)], size(node.start, node.end), crumb)]
+    inner = nesting.children(t, node) if whole[0].size > most else []
+    if not inner:
+        return whole
+    parts, at = [], node.start
+    for child in inner:
+        parts += _between(t, at, child.start, crumb, size) + _windows(t, child, crumb, size, most, least)
+        at = child.end
+    return merged(parts + _between(t, at, node.end, crumb, size), size, most, least)
+
+
+def _between(t: nesting.Tokens, start: int, end: int, crumb: tuple[str, ...], size) -> list[_Window]:
+    piece = t.text[start:end]
+    a, b = start + len(piece) - len(piece.lstrip()), end - len(piece) + len(piece.rstrip())
+    return [_Window([(a, b, False)], size(a, b), crumb)] if a < b else []
+
+
+def merged(windows: list[_Window], size, most: int, least: int) -> list[_Window]:
+    """Neighbours joined within the budgets; comments at a window's end go to the next one first."""
+    out: list[_Window] = []
+    for new in windows:
+        now = out[-1] if out else None
+        if now:
+            moved = []
+            while now.pieces and now.pieces[-1][2]:
+                moved.insert(0, now.pieces.pop())
+            if moved:
+                now.size -= sum(size(a, b) for a, b, _ in moved)
+                new = _Window([*moved, *new.pieces], size(moved[0][0], new.pieces[-1][1]), new.crumb)
+            if not now.pieces:
+                out[-1] = new
+                continue
+            start, end = now.pieces[0][0], new.pieces[-1][1]
+            both, shorter = size(start, end), min(len(now.crumb), len(new.crumb))
+            share = 1.0 if now.crumb[:shorter] == new.crumb[:shorter] else UNLIKE
+            fits = both <= most * share or (now.size < least and both < most * share * TINY)
+            if fits and end - start <= most * RAW * share:
+                now.pieces, now.size = now.pieces + new.pieces, both
+                now.crumb = new.crumb if len(new.crumb) > len(now.crumb) else now.crumb
+                continue
+        out.append(new)
+    return out
+
+
+def structural_chunks(language: str) -> Chunker:
+    """The chunker of a language whose nesting is known."""
+
+    def chunks(path: str, text: str, most: int, least: int) -> list[tuple[int, int, str]]:
+        blank = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sums = np.concatenate(([0], np.cumsum(~np.isin(blank, [32, 9, 10, 13]))))
+        size = lambda a, b: int(sums[b] - sums[a])
+        if sums[-1] <= most:
+            return [(0, len(text), path)]
+        t = nesting.tokens(text, language)
+        parts = [w for n in nesting.nodes(t) for w in _windows(t, n, (path,), size, most, least)]
+        found = merged(parts, size, most, least)
+        ends = [w.pieces[-1][1] for w in found[:-1]] + [len(text)]
+        return [(a, b, " > ".join(w.crumb)) for a, b, w in zip([0, *ends], ends, found, strict=False)]
+
+    return chunks
+
+
+for _language in nesting.DECLARATIONS:
+    register(_language)(structural_chunks(_language))
 
 
 def semantic_chunks(files: DataFrame, profile: str = "balanced") -> DataFrame:
     """path, chunk_index, raw_start, raw_end, vec_start, breadcrumb of the files whose language has a chunker.
 
-    A file that the chunker can't parse has no row; such files take the line split.
+    Raw spans join to the text. What is embedded begins earlier by the profile's
+    overlap, unless that would be over a quarter of the characters a chunk may have. A
+    file that the chunker can't parse has no row; such files take the line split.
     """
     most, least, overlap = PROFILES[profile]
+    return _chunked(files, most, least, overlap)
+
+
+def _chunked(files: DataFrame, most: int, least: int, overlap: int) -> DataFrame:
     chunkers = dict(CHUNKERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +204,9 @@ def semantic_chunks(files: DataFrame, profile: str = "balanced") -> DataFrame:
                 except (SyntaxError, ValueError, RecursionError):
                     continue
                 for k, (a, b, crumb) in enumerate(chunks):
-                    out.append((path, k, a, b, overlap_start(text, chunks[k - 1][0] if k else a, a, overlap), crumb))
+                    start = a + len(text[a:b]) - len(text[a:b].lstrip())
+                    before = overlap_start(text, chunks[k - 1][0], start, overlap) if k else start
+                    out.append((path, k, a, b, before if start - before <= most * RAW / 4 else start, crumb))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), *[pa.int32()] * 4, pa.string()))], names=["path", "chunk_index", "raw_start", "raw_end", "vec_start", "breadcrumb"])
 
     source = files.where(F.col("language").isin(*chunkers) & F.col("content").isNotNull()).select("path", "language", "content")

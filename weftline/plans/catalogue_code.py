@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as fx
-from weftline.operators import access, analytics, chunking, context, filters, graph, imports, indexing, reports, retrieval
+from weftline.operators import access, analytics, chunking, context, filters, imports, indexing, reports, retrieval
 from weftline.plans.catalogue import BM25, CHUNKS, FILES, ORACLE_SQL, QUERIES, TERMS, _bm25_sql, _chunks, _scored, query
 from weftline.plans.lineage import written
 from weftline.sources import readers
@@ -96,7 +96,7 @@ _SHARED = "len(list_filter(generate_series(1, least(len(string_split(a, '/')), l
 
 
 @query(
-    f"""WITH f AS (SELECT doc_id, {_UNEVEN_PATH} AS path, {_UNEVEN_TEXT} AS content FROM documents), g AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, path LIKE '%\_test.go' ESCAPE '\' AS test FROM f),
+    f"""WITH f AS (SELECT doc_id, {_UNEVEN_PATH} AS path, {_UNEVEN_TEXT} AS content FROM documents), g AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, ends_with(path, '_test.go') AS test FROM f),
     i AS (SELECT DISTINCT path AS from_path, folder AS a, unnest(regexp_extract_all(content, '(?m)^import (?:x )?"([^"]+)"', 1)) AS import FROM g), d AS (SELECT folder AS b, min(path) FILTER (NOT test) AS plain, min(path) AS any_path FROM g GROUP BY folder),
     asked AS (SELECT DISTINCT a, import FROM i), s AS (SELECT a, import, coalesce(plain, any_path) AS to_path, plain IS NULL AS test, {_SHARED} AS shared FROM asked JOIN d ON contains('/' || b || '/', '/' || import || '/')),
     best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a, import ORDER BY test, shared DESC, to_path) = 1) SELECT from_path, import, to_path FROM i JOIN best USING (a, import)"""
@@ -254,26 +254,6 @@ def decoded_by_mark(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.md5(F.encode(readers.decoded(F.col("raw")), "utf-8")).alias("text_md5"))
 
 
-# A class with two methods and a function that calls one; imports of the file after it.
-_SCRIPT = "import { x } from './f{d+1}';\nexport class Box{d} {\n  open() {\n    helper{d}();\n  }\n  close() {\n  }\n}\nfunction helper{d}() {\n  return 1;\n}\n"
-
-
-def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return graph.script_graph(table(spark, sf, "documents").select(spelled("src/f{d}.ts").alias("path"), spelled(_SCRIPT).alias("content")))
-
-
-@query("WITH a AS (SELECT doc_id, 'src/f' || doc_id || '.ts' AS p FROM documents) SELECT 'file:' || p AS id, 'file' AS kind, 1 AS start_line FROM a UNION ALL SELECT 'symbol:' || p || ':Box' || doc_id || ':2', 'class', 2 FROM a UNION ALL SELECT 'symbol:' || p || ':open:3', 'method', 3 FROM a UNION ALL SELECT 'symbol:' || p || ':close:6', 'method', 6 FROM a UNION ALL SELECT 'symbol:' || p || ':helper' || doc_id || ':9', 'function', 9 FROM a")
-def script_graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return _graph(spark, sf)[0].select("id", "kind", F.col("start_line").cast("int").alias("start_line"))
-
-
-@query("""WITH a AS (SELECT doc_id, 'src/f' || doc_id || '.ts' AS p FROM documents) SELECT 'file:' || p AS from_id, 'file:src/f' || (doc_id + 1) || '.ts' AS to_id, 'imports' AS kind FROM a
-    UNION ALL SELECT 'file:' || p, 'symbol:' || p || ':Box' || doc_id || ':2', 'contains' FROM a UNION ALL SELECT 'file:' || p, 'symbol:' || p || ':helper' || doc_id || ':9', 'contains' FROM a
-    UNION ALL SELECT 'symbol:' || p || ':Box' || doc_id || ':2', 'symbol:' || p || ':' || m, 'contains' FROM a, (VALUES ('open:3'), ('close:6')) v(m) UNION ALL SELECT 'symbol:' || p || ':Box' || doc_id || ':2', 'symbol:' || p || ':helper' || doc_id || ':9', 'calls' FROM a""")
-def script_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _graph(spark, sf)[1].select("from_id", "to_id", "kind")
-
-
 @query("SELECT a.doc_id, CASE a.doc_id % 4 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'cpp' ELSE 'unknown' END AS language FROM documents a")
 def language_of_paths(spark: SparkSession, sf: str) -> DataFrame:
     ends = F.array(*[F.lit(e) for e in (".TSX", ".py", ".hpp", ".xyz")])
