@@ -51,3 +51,31 @@ def test_states_and_caches(spark):
     assert {r.path: r.status for r in indexing.graph_states(files, states).collect()} == {"a.ts": "indexed", "b.ts": "pending", "c.py": "skipped"}
     cache = spark.createDataFrame([("a", 5), ("b", 50)], "key string, written_at long")
     assert [r.key for r in indexing.younger_than(cache, 60, 20).collect()] == ["b"]
+
+
+def test_tables_of_a_thread_are_its_own(spark):
+    import threading
+
+    from weftline.plans import lineage
+
+    mine = lineage.fresh_path(spark, "mine")
+    spark.range(3).write.parquet(mine)
+    seen = []
+
+    def other():
+        lineage.written(spark.range(2), "other")
+        seen.append(len(lineage.named()))
+        lineage.clean_up(spark)
+        seen.append(len(lineage.named()))
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    thread.join()
+    assert seen == [1, 0] and mine in lineage.named() and spark.read.parquet(mine).count() == 3
+    lineage.discard(spark, mine)
+    scratch = lineage.Scratch(spark, "s")
+    a, b = scratch.written(spark.range(3), "a"), scratch.written(spark.range(4), "b")
+    scratch.drop("a")
+    assert b.count() == 4 and list(scratch.paths) == ["b"] and a is not None
+    scratch.close()
+    assert scratch.folder not in lineage.named()

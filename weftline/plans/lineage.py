@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found or os.path.join(tempfile.gettempdir(), f"weftline-{spark.sparkContext.applicationId}")
 
 
-#: Folders that this process has named in the shared folder and not deleted.
-_NAMED: list[str] = []
+#: Folders that each thread has named in the shared folder and not deleted; queries that run side by side have threads of their own.
+_OWN = threading.local()
+
+
+def _paths() -> list[str]:
+    if not hasattr(_OWN, "paths"):
+        _OWN.paths = []
+    return _OWN.paths
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    _NAMED.append(f"{shared_dir(spark).rstrip('/')}/weftline-{tag}-{uuid.uuid4().hex}")
-    return _NAMED[-1]
+    _paths().append(f"{shared_dir(spark).rstrip('/')}/weftline-{tag}-{uuid.uuid4().hex}")
+    return _paths()[-1]
 
 
 def named() -> list[str]:
-    """The folders named so far, oldest first."""
-    return list(_NAMED)
+    """The folders that this thread has named so far, oldest first."""
+    return list(_paths())
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -45,12 +52,12 @@ def delete(spark: SparkSession, path: str) -> None:
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``fresh_path`` gave."""
     delete(spark, path)
-    if path in _NAMED:
-        _NAMED.remove(path)
+    if path in _paths():
+        _paths().remove(path)
 
 
 def clean_up(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Delete the intermediate tables of this process but for ``keep``; results that still read from them are then gone too."""
+    """Delete the intermediate tables of this thread but for ``keep``; results that still read from them are then gone too."""
     for path in named():
         if path not in keep:
             discard(spark, path)
