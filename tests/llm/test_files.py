@@ -17,12 +17,11 @@ def test_intermediate_tables_can_be_deleted(spark):
     import os
 
     df = common.written(spark.range(3).toDF("a"), "t")
-    path = lineage._NAMED[-1]
+    path = lineage.named()[-1]
     assert df.count() == 3 and os.path.isdir(path)
-    kept, lineage._NAMED[:] = lineage._NAMED[:-1], [path]
-    common.clean_up(spark)
-    assert not os.path.exists(path) and not lineage._NAMED
-    lineage._NAMED[:] = kept
+    others = lineage.named()[:-1]
+    common.clean_up(spark, keep=tuple(others))
+    assert not os.path.exists(path) and lineage.named() == others
 
 
 def test_hot_keys_join_like_others(spark):

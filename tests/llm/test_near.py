@@ -44,6 +44,27 @@ def brute(rows):
     return out
 
 
+def test_ids_that_repeat_or_are_null(spark):
+    """Ids of one value, or of none, on texts that differ: classes follow the texts, and each text crosses the join once."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(300)]
+    bases = [rng.choices(words, k=80) for _ in range(30)]
+    near_copy = lambda b: " ".join([*b[:40], "changed", *b[41:]])
+    texts = [" ".join(b) for b in bases] + [near_copy(b) for b in bases]
+    for shared in (None, 5):
+        rows = [(shared, t) for t in texts] + [(shared, texts[0])] * 50 + [(9, texts[1])]
+        got = near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and all(r.n_links == 1 for r in got)
+        assert sorted({r.n_copies for r in got}) == [1, 2, 51]
+        assert sum(r.n_copies == 51 for r in got) == 51
+        assert all(r.class_id == shared for r in got if r.doc_id == shared and shared is not None)
+    docs = spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string")
+    signed = near.signatures(docs, 5, 2, 3, "doc_id", "text")
+    wanted = signed.groupBy("set_hash").agg(F.min("doc_id").alias("from_id"), F.min("_text_hash").alias("from_text"), F.min("bands").alias("bands"))
+    found = near._grams_of(docs, wanted, 5, "doc_id", "text")
+    assert found.count() == len(texts)
+
+
 def planted(seed=1):
     rng = random.Random(seed)
     words = [f"w{k}" for k in range(400)]

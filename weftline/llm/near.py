@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.bpe import Remembered
-from weftline.llm.common import discard, free_name, left_join_hot, named, texts, written
+from weftline.llm.common import Scratch, free_name, left_join_hot, texts, written
 
 #: n-gram length, least similarity, recall of a pair just as similar as that, most band hashes of a text.
 N, SIMILAR, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
@@ -80,7 +80,7 @@ def ngrams(text: str, n: int = N) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, set_hash, n_grams, bands array<long>); the last three null where a text has no n-gram."""
+    """(id, text_hash, set_hash, n_grams, bands array<long>); the last three null where a text has no n-gram."""
     rng = np.random.default_rng(11)
     factors = rng.integers(1, 2**62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -105,10 +105,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
                         mixed = _mix(mixed * np.uint64(31) + lows[:, j::rows][:, :bands])
                 found = iter(mixed.view(np.int64).tolist() if live else [])
                 out = [[xxhash.xxh3_128_digest(s.tobytes()), len(s), next(found)] if len(s) else [None, None, None] for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=[id_col, "set_hash", "n_grams", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=[id_col, "_text_hash", "set_hash", "n_grams", "bands"])
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("set_hash", T.BinaryType()), T.StructField("n_grams", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return texts(docs, id_col, text_col).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[id_col], T.StructField("_text_hash", T.LongType()), T.StructField("set_hash", T.BinaryType()), T.StructField("n_grams", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return texts(docs, id_col, text_col).withColumn("_text_hash", F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -192,22 +192,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round is a few shuffles of the edges, written to the shared folder; the
     driver sees one number a round.
     """
-    spark = edges.sparkSession
-    edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    tables = Scratch(edges.sparkSession, "components")
+    edges = tables.written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges-0")
+    before, n = None, 0
     while True:
-        done = named()[-1:]
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         # large star: larger neighbours link to the least node of the neighbourhood
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "edges")
+        large = tables.written(large, "large")
         # small star: smaller neighbours and the node itself link to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").where("x <> m").unionAll(low.select(F.col("u").alias("x"), "m"))
-        edges = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        for path in [*done, named()[-2]]:  # the edges before this round, and its large stars
-            discard(spark, path)
+        edges, n = tables.written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), f"edges-{n + 1}"), n + 1
+        tables.drop(f"edges-{n - 1}", "large")
         mark = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.lit(0))).first()
         if tuple(mark) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -223,8 +221,8 @@ def near_classes(docs: DataFrame, n: int = N, similarity: float = SIMILAR, recal
     docs = docs.select(id_col, text_col)
     signed = written(signatures(docs, n, n_bands, n_rows, id_col, text_col), "signatures")
     full = signed.where("set_hash is not null")
-    unique = full.groupBy("set_hash").agg(F.min(id_col).alias("least_id"), F.min(F.struct("n_grams", "bands")).alias("s"), F.count(F.lit(1)).alias("n_copies"))
-    unique = unique.select("set_hash", "least_id", "n_copies", "s.n_grams", "s.bands")
+    unique = full.groupBy("set_hash").agg(F.min(id_col).alias("least_id"), F.min(F.struct(F.col(id_col).alias("from_id"), "_text_hash")).alias("from"), F.min(F.struct("n_grams", "bands")).alias("s"), F.count(F.lit(1)).alias("n_copies"))
+    unique = unique.select("set_hash", "least_id", "n_copies", "from.from_id", F.col("from._text_hash").alias("from_text"), "s.n_grams", "s.bands")
 
     spread = unique.select("set_hash", "n_grams", F.posexplode("bands").alias("band", "hash"))
     tag = F.xxhash64("set_hash")
@@ -236,7 +234,7 @@ def near_classes(docs: DataFrame, n: int = N, similarity: float = SIMILAR, recal
     meets = written(spread.join(buckets, ["band", "hash"]).select("band", "hash", "blocks", "set_hash"), "meets")
 
     # the n-grams of one copy of each text that meets another, from a second reading of the texts
-    wanted = meets.select("set_hash").distinct().join(unique.select("set_hash", "least_id", "bands"), "set_hash")
+    wanted = meets.select("set_hash").distinct().join(unique.select("set_hash", "from_id", "from_text", "bands"), "set_hash")
     grams = _grams_of(docs, wanted, n, id_col, text_col)
     rows = meets.join(grams, "set_hash").withColumn("block", F.pmod(F.xxhash64("set_hash", "hash"), F.col("blocks")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -263,8 +261,8 @@ def near_classes(docs: DataFrame, n: int = N, similarity: float = SIMILAR, recal
 def _grams_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(set_hash, bands, grams) of the wanted sets, each from one row that has it.
 
-    Texts cross the join compressed. Ids may repeat, so a row counts only if its
-    n-grams have the wanted hash.
+    Texts cross the join compressed. Rows join on their id and their text's hash
+    together, so an id that many texts share, or none has, brings each text once.
     """
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +270,7 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
 
         shrink = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shrink(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["least_id", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([shrink(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["from_id", "from_text", "z"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -287,11 +285,10 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
                 yield out.filter(holds)
 
     id_type = docs.schema[id_col].dataType
-    small = texts(docs, id_col, text_col).mapInArrow(press, T.StructType([T.StructField("least_id", id_type), T.StructField("z", T.BinaryType())]))
-    joined = small.join(wanted, small["least_id"].eqNullSafe(wanted["least_id"])).select("set_hash", "bands", "z")
-    found = joined.mapInArrow(expand, "set_hash binary, bands array<long>, grams binary")
-    once = Window.partitionBy("set_hash").orderBy("set_hash")
-    return found.withColumn("k", F.row_number().over(once)).where("k = 1").drop("k")
+    small = texts(docs, id_col, text_col).withColumn("_text_hash", F.xxhash64(text_col)).mapInArrow(press, T.StructType([T.StructField("from_id", id_type), T.StructField("from_text", T.LongType()), T.StructField("z", T.BinaryType())]))
+    joined = small.join(wanted, small["from_id"].eqNullSafe(wanted["from_id"]) & (small["from_text"] == wanted["from_text"])).select("set_hash", "bands", "z")
+    # rows that repeat id and text bring a set again; within a task all but one go before the shuffle
+    return joined.mapInArrow(expand, "set_hash binary, bands array<long>, grams binary").dropDuplicates(["set_hash"])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
