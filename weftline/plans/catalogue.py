@@ -578,4 +578,4 @@ def raw_code_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Registers the queries over source files.
-from weftline.plans import catalogue_code, catalogue_index, catalogue_source  # noqa: E402, F401
+from weftline.plans import catalogue_code, catalogue_edits, catalogue_index, catalogue_source  # noqa: E402, F401

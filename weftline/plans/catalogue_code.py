@@ -193,9 +193,9 @@ def kind_name_filter(spark: SparkSession, sf: str) -> DataFrame:
     return filters.field_filter(_crumbed(spark, sf), filters.parse_text("kind:CLASS name:box3 name:BOX4 words")).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE lang LIKE '%e%' AND (source || '/' || doc_id || '.ts') LIKE '%1/%5.ts%'")
+@query("SELECT doc_id FROM documents WHERE lang LIKE '%e%' AND (source || '/' || doc_id || '.ts') LIKE '%/%5.ts%'")
 def loose_field_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.loose_filter(_crumbed(spark, sf), filters.parse_text("lang:E path:1/*5.ts")).select("doc_id")
+    return filters.loose_filter(_crumbed(spark, sf), filters.parse_text("lang:E path:*/*5.ts")).select("doc_id")
 
 
 @query(f"WITH {FILES} SELECT path, CASE WHEN doc_id % 4 = 0 THEN hash WHEN doc_id % 4 = 1 THEN 'stale' END AS vector_index_hash FROM files")

@@ -100,11 +100,11 @@ _TEXTS, _CRUMBS, _PATH = _units(spark=False)
 @query(
     rf"""WITH f AS (SELECT doc_id, {_PATH} AS path, {_TEXTS} AS units, {_CRUMBS} AS crumbs FROM documents), k AS (SELECT *, generate_subscripts(units, 1) AS k FROM f),
     e AS (SELECT *, length(array_to_string(units, chr(10) || chr(10))) AS total, list_sum(list_transform(units[1 : k], lambda x: length(x) + 2)) - 2 AS stop, list_sum(list_transform(units[1 : k], lambda x: length(x) + 2)) - 2 - length(units[k]) AS start FROM k)
-    SELECT path, (k - 1)::INT AS chunk_index, (CASE WHEN k = 1 THEN 0 ELSE start - 2 END)::INT AS raw_start, (CASE WHEN k = len(units) THEN total ELSE stop END)::INT AS raw_end,
+    SELECT path, (k - 1)::INT AS chunk_index, (start - CASE WHEN k = 1 THEN 0 ELSE length(regexp_extract(units[k - 1] || chr(10) || chr(10), '(?:[^ \t\n][ \t\n]*){{32}}$')) END)::INT AS vec_start, (CASE WHEN k = 1 THEN 0 ELSE start - 2 END)::INT AS raw_start, (CASE WHEN k = len(units) THEN total ELSE stop END)::INT AS raw_end,
         CASE WHEN len(units) = 1 AND length(translate(units[1], ' ' || chr(9) || chr(10), '')) <= 700 THEN path ELSE path || ' > ' || crumbs[k] END AS breadcrumb FROM e"""
 )
 def structural_chunks(spark: SparkSession, sf: str) -> DataFrame:
     units, _, path = _units(spark=True)
     language = F.element_at(F.array(*[F.lit(name) for name in _UNITS]), (F.col("doc_id") % 5 + 1).cast("int"))
     rows = table(spark, sf, "documents").select(F.expr(path).alias("path"), language.alias("language"), F.array_join(F.expr(units), "\n\n").alias("content"))
-    return chunking.semantic_chunks(rows).select("path", "chunk_index", "raw_start", "raw_end", "breadcrumb")
+    return chunking.semantic_chunks(rows).select("path", "chunk_index", "vec_start", "raw_start", "raw_end", "breadcrumb")
