@@ -33,6 +33,8 @@ from weftline.llm.common import Scratch, free_name, left_join_hot, texts, writte
 
 #: n-gram length, least similarity, recall of a pair just as similar as that, most band hashes of a text.
 N, SIMILAR, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
+#: Words whose hashes a worker remembers, in each of two generations.
+KNOWN_WORDS = 200_000
 #: n-gram hashes that one block of a bucket should hold (8 bytes each), and rows of it.
 BLOCK_GRAMS, BLOCK_ROWS = 1 << 20, 1024
 
@@ -57,7 +59,7 @@ def bands_for(similarity: float = SIMILAR, recall: float = RECALL, most: int = M
 def _word_hashes() -> Remembered:
     import xxhash
 
-    return Remembered(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+    return Remembered(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), KNOWN_WORDS)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.bpe import LONGEST, REMEMBERED
+from weftline.llm.bpe import LONGEST
 from weftline.llm.common import texts, written
 
+#: Chunks whose ids a worker remembers, in each of two generations.
+KNOWN_CHUNKS = 200_000
 #: Tokens of a window, windows that a partition keeps open, least gap worth a cut, partitions whose leftovers meet.
 WINDOW, OPEN, LEAST_CUT, MEET = 2048, 32, 16, 64
 
@@ -53,7 +55,7 @@ class WordIds:
     def encode_all(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in batch]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > KNOWN_CHUNKS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         todo = []
