@@ -96,6 +96,32 @@ def test_equal_texts_stay_together(spark):
     assert split == ["one large group of copies"] and len(shards[split[0]]) > 1
 
 
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    """Groups between a 64th of a shard and a whole one, among them copies of one id, are in one shard each, and shards are near equal."""
+    rng = random.Random(4)
+    rows = [(k, f"own text {k} " * rng.randrange(1, 9)) for k in range(4000)]
+    for g, n in enumerate([900, 700, 400, 300, 200, 90, 60]):
+        rows += [(g if g % 2 else 10_000 + k, f"group {g} of copies " * 6) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found, moves = sharding.reshard(docs, F.crc32(F.encode("text", "utf-8")) % 3, 3, 4)
+    out = sharding.slots(sharding.rewrite(found, fresh_path(spark, "t"), moves, all_shards=True)).select("text", "_shard", "_slot", "_size", "_block").collect()
+    shards, sizes = {}, [0] * 4
+    for r in out:
+        shards.setdefault(r.text, set()).add(r._shard)
+        sizes[r._shard] += r._size
+    assert len(out) == len(rows) and all(len(s) == 1 for t, s in shards.items() if t.startswith("group"))
+    assert max(sizes) - min(sizes) < 0.02 * sum(sizes)
+    for j in range(4):
+        assert sorted(r._slot for r in out if r._shard == j) == list(range(sum(r._shard == j for r in out)))
+    assert [sum(m[j] for m in moves) for j in range(4)] == pytest.approx(sizes, rel=0.01)
+    assert len({r._block for r in out if r.text.startswith("group 1 ")}) > 4  # copies of one id too are spread over blocks
+
+
+def test_groups_are_placed_where_they_lie_or_fit():
+    assert sharding.placed_groups([(1, {0: 50}), (2, {1: 40, 0: 5}), (3, {2: 500}), (4, {2: 30})], [100, 100, 60]) == ({1: 0, 2: 1, 4: 2}, [50, 55, 30])
+    assert sharding.placed_groups([(1, {5: 60}), (2, {5: 60}), (3, {5: 60})], [70, 70]) == ({1: 0, 2: 1}, [10, 10])
+
+
 def test_only_changed_shards_are_written(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"))
     rows, moves = sharding.reshard(docs, F.when(F.col("doc_id") < 100, 0).when(F.col("doc_id") < 200, 1).otherwise(2), 3, 4, capacities=[1200, 1200, 1200, 1200])

@@ -7,10 +7,12 @@ axis, block after block; the flow cuts that axis into one interval that stays an
 intervals that move, and a row follows the interval that its middle byte lies in.
 ``rewrite`` then writes the shards that gained or lost rows.
 
-Equal texts of an old shard lie next to each other on the axis and follow the
-interval of the middle of all of them, so they stay together, but for a group with
-over 1 / ``GROUP_SHARE`` of a new shard's bytes: its rows are spread one by one, as
-shard sizes have to be near equal and one group may be larger than a shard.
+Equal texts stay together. Those of an old shard lie next to each other on the axis
+and follow the interval of the middle of all of them. A group with over 1 /
+``GROUP_SHARE`` of a new shard's bytes would make shards unequal that way, so such
+groups are placed first, each whole: where it lies if there is room, else where most
+room is; the flow then has the capacities that are left. Only a group that fits in no
+shard has its rows spread one by one.
 
 Defined cases: a null text has no bytes and is the empty text; every row has 8 bytes
 besides its text, so empty ones spread too; rows that repeat are equal texts; an
@@ -27,9 +29,9 @@ from weftline.llm.common import fresh_path
 
 #: Bytes that a block should have, and blocks that an old shard has at least.
 BLOCK_BYTES, LEAST_BLOCKS = 32 << 20, 16
-#: Groups of equal texts stay whole up to this part of a new shard's bytes, so a larger one is one of at most so many a shard.
+#: A group of equal texts beyond this part of a new shard's bytes is placed by itself, so there are at most so many a shard.
 GROUP_SHARE = 64
-OWN = ("_group", "_large", "_first", "_last", "_size", "_old", "_spread", "_block", "_row", "_upto", "_from", "_shard", "_slot", "_bytes", "_n", "_least", "_base")
+OWN = ("_group", "_placed", "_pos", "_weight", "_first", "_last", "_size", "_old", "_spread", "_block", "_row", "_upto", "_from", "_shard", "_slot", "_bytes", "_n", "_least", "_base")
 
 
 def cheapest_moves(old: list[int], capacities: list[int]) -> list[list[int]]:
@@ -88,6 +90,18 @@ def intervals(moves: list[list[int]]) -> dict[int, list[tuple[int, int]]]:
     return out
 
 
+def placed_groups(groups: list[tuple[int, dict[int, int]]], capacities: list[int]) -> tuple[dict[int, int], list[int]]:
+    """The shard of each group that fits one, and the capacities left; a group is its number and its bytes by old shard."""
+    room, out = list(capacities), {}
+    for number, held in sorted(groups, key=lambda g: (-sum(g[1].values()), g[0])):
+        size = sum(held.values())
+        fits = [j for j in range(len(room)) if room[j] >= size]
+        if fits:
+            out[number] = max(fits, key=lambda j: (held.get(j, 0), room[j], -j))
+            room[out[number]] -= size
+    return out, room
+
+
 def _target(cuts: dict[int, list[tuple[int, int]]], shard: Column, middle: Column) -> Column:
     """The new shard by old shard and middle byte: a few hundred literals at most."""
     out = None
@@ -102,27 +116,43 @@ def _target(cuts: dict[int, list[tuple[int, int]]], shard: Column, middle: Colum
 def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None) -> tuple[DataFrame, list[list[int]]]:
     """All columns with _size, _old, _block, _row (within the block) and _shard, and the moves in bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.drop(*OWN)
+    docs = docs.drop(*OWN).withColumn("_pos", F.monotonically_increasing_id())  # tells rows that are equal apart
     sized = docs.withColumns({"_size": F.octet_length(text).cast("long") + 8, "_old": old_shard.cast("int"), "_group": F.xxhash64(text)})
     totals = {r["_old"]: r["bytes"] for r in sized.groupBy("_old").agg(F.sum("_size").alias("bytes")).collect()}
     old = [totals.get(i, 0) for i in range(n_old)]
-    moves = cheapest_moves(old, capacities or [-(-sum(old) // n_new)] * n_new)
+    capacities = capacities or [-(-sum(old) // n_new)] * n_new
+    # fewer than n_new * GROUP_SHARE groups, each with its bytes in the old shards that hold it
+    least = sum(old) / (n_new * GROUP_SHARE)
+    counts = sized.groupBy("_group", "_old").agg(F.sum("_size").alias("_n")).groupBy("_group").agg(F.sum("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_old", "_n"))).alias("held"))
+    large = [(r["_group"], r["held"]) for r in counts.where(F.col("_n") > least).collect()]
+    place, room = placed_groups(large, capacities)
+    rest = list(old)
+    for number in place:
+        for i, n in dict(large)[number].items():
+            rest[i] -= n
+    moves = cheapest_moves(rest, room)
     cuts = intervals(moves)
+    for number, j in place.items():
+        for i, n in dict(large)[number].items():
+            moves[i][j] += n
     n_blocks = max(LEAST_BLOCKS, -(-max(old, default=0) // BLOCK_BYTES))
-    least = sum(old) / (n_new * GROUP_SHARE)
-    large = sized.select("_group", "_size").groupBy("_group").agg(F.sum("_size").alias("_n")).where(F.col("_n") > least).select("_group", F.lit(True).alias("_large"))
-    sized = sized.join(F.broadcast(large), "_group", "left")  # fewer than n_new * GROUP_SHARE rows
-    alone = F.xxhash64(F.col(id_col), F.col("_group"))
-    sized = sized.withColumn("_spread", F.when(F.col("_large"), alone).otherwise(F.col("_group"))).withColumn("_block", F.pmod("_spread", F.lit(n_blocks)).cast("int")).drop("_group", "_large")
-    blocks = sized.groupBy("_old", "_block").agg(F.sum("_size").alias("_bytes"))
+    known = docs.sparkSession.createDataFrame([(g, place.get(g, -1)) for g, _ in large], "_group long, _placed int")
+    sized = sized.join(F.broadcast(known), "_group", "left")
+    alone = F.xxhash64(F.col(id_col), F.col("_group"), F.col("_pos"))
+    sized = sized.withColumn("_spread", F.when(F.col("_placed").isNotNull(), alone).otherwise(F.col("_group"))).withColumn("_block", F.pmod("_spread", F.lit(n_blocks)).cast("int"))
+    # what is placed has blocks of its own, in which a shard's rows lie together
+    sized = sized.withColumn("_block", F.when(F.col("_placed") >= 0, F.col("_block") + n_blocks).otherwise(F.col("_block")))
+    sized = sized.withColumn("_weight", F.when(F.col("_placed") >= 0, 0).otherwise(F.col("_size"))).drop("_group")  # what is placed isn't on the axis
+    blocks = sized.groupBy("_old", "_block").agg(F.sum("_weight").alias("_bytes"))
     along = Window.partitionBy("_old").orderBy("_block")  # a row for each block
     blocks = blocks.select("_old", "_block", (F.sum("_bytes").over(along) - F.col("_bytes")).alias("_from"))
-    inside = Window.partitionBy("_old", "_block").orderBy("_spread", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sized.withColumns({"_upto": F.sum("_size").over(inside), "_row": F.row_number().over(inside)})
+    inside = Window.partitionBy("_old", "_block").orderBy(F.greatest("_placed", F.lit(-1)), "_spread", "_size", "_pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sized.withColumns({"_upto": F.sum("_weight").over(inside), "_row": F.row_number().over(inside)})
     together = Window.partitionBy("_old", "_block", "_spread")
-    rows = rows.withColumns({"_first": F.min(F.col("_upto") - F.col("_size")).over(together), "_last": F.max("_upto").over(together)}).join(blocks, ["_old", "_block"])
+    rows = rows.withColumns({"_first": F.min(F.col("_upto") - F.col("_weight")).over(together), "_last": F.max("_upto").over(together)}).join(blocks, ["_old", "_block"])
     twice = 2 * F.col("_from") + F.col("_first") + F.col("_last")
-    return rows.withColumn("_shard", _target(cuts, F.col("_old"), twice).cast("int")).drop("_upto", "_from", "_spread", "_first", "_last"), moves
+    shard = F.when(F.col("_placed") >= 0, F.col("_placed")).otherwise(_target(cuts, F.col("_old"), twice)).cast("int")
+    return rows.withColumn("_shard", shard).drop("_upto", "_from", "_spread", "_first", "_last", "_placed", "_pos", "_weight"), moves
 
 
 def rewrite(rows: DataFrame, path: str, moves: list[list[int]], all_shards: bool = False) -> DataFrame:
