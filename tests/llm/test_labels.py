@@ -69,7 +69,7 @@ def secret_rows():
 def test_chosen_candidates_join(spark):
     docs = spark.createDataFrame(secret_rows(), "doc_id long, text string")
     model = personal.fit(docs)
-    assert len(model.trees) == personal.TREES and model.precision >= personal.RIGHT and model.recall > 0.5
+    assert len(model.trees) == personal.TREES and all(p >= personal.RIGHT for p in model.precision.values()) and model.recall[0] > 0.5
     got = {r.doc_id: r.s for r in personal.all_spans(docs, model).select("doc_id", personal.as_text("_spans").alias("s")).collect()}
     assert all("secret:" in got[k] for k in [*range(60), *range(200, 202)]) and not any(got[100 + k] for k in range(60))
     clean = personal.redact(docs, model)
@@ -84,10 +84,8 @@ def brute_candidates(text):
     }
     out = []
     for n, g in enumerate(personal.GENERATORS):
-        last = 0
         for m in re.finditer(plain[g], text):
-            hit, before, after = m.group(), text[last : m.start()][-24:], text[m.end() : m.end() + 1]
-            last = m.end()
+            hit, before, after = m.group(), text[: m.start()][-24:], text[m.end() : m.end() + 1]
             digits = sum(c in "0123456789" for c in hit)
             f = {
                 "generator": n, "long": min(5, len(hit) // 8), "digits": 4 * digits // len(hit), "diverse": min(4, len(set(hit)) // 4), "mixed": int(bool(re.search("[A-Za-z]", hit)) and digits > 0), "spaced": int(bool(re.search("[ ./-]", hit))),
@@ -99,7 +97,7 @@ def brute_candidates(text):
 
 def brute_spans(text, model):
     base = [(m.start(), m.end(), n) for n, (k, p) in enumerate(BASE.items()) for m in re.finditer(p, text or "") if holds(k, m.group())]
-    chosen = [c for c in brute_candidates(text or "") if model.of(c[3]) >= model.threshold and not any(a < c[1] and c[0] < b for a, b, _ in base)]
+    chosen = [c for c in brute_candidates(text or "") if model.of(c[3]) >= model.thresholds.get(c[2], float("inf")) and not any(a < c[1] and c[0] < b for a, b, _ in base)]
     joins = [c for c in chosen if not any(d[2] < c[2] and d[0] < c[1] and c[0] < d[1] for d in chosen)]
     spans = [(a, n, b) for a, b, n in base] + [(a, personal.KINDS.index(list(personal.KIND_OF.values())[n]), b) for a, b, n, _ in joins]
     return ",".join(f"{personal.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))

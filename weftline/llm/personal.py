@@ -8,9 +8,9 @@ shape of its surroundings (quotes, an assignment, what stands next to it). What
 are fitted to is evidence that no feature sees: the name of a key or a document
 before the candidate, or a checksum that holds. Three in four distinct candidates
 are fitted to, counted by their few thousand possible feature values over all
-documents; on the fourth, the threshold is the least score from which the wanted
-share of candidates has evidence, and its precision and recall are told. A chosen
-candidate joins if it overlaps no base span and no chosen one of an earlier
+documents; on the fourth, each generator gets the least threshold from which the
+wanted share of its candidates has evidence, and its precision and recall are told. A
+chosen candidate joins if it overlaps no base span and no chosen one of an earlier
 generator.
 
 Time and memory are in proportion to the text and its hits: repeats that nothing can
@@ -18,9 +18,9 @@ follow are possessive, positions are sums over slices of bounded size, overlaps
 found by binary search, and text is cut from blocks of bounded size.
 
 Defined cases: a null text is the empty text, without spans; offsets are code
-points, ends exclusive; spans of different base kinds may overlap; with few
-candidates, or none, the fixed counts of ``PRIOR`` decide, as they do to their share
-in any table; other columns are kept by ``redact``, whatever their names, while
+points, ends exclusive; spans of different base kinds may overlap; the
+fixed counts of ``PRIOR`` are fitted with the table's own and calibrate nothing, so a
+generator without held-out candidates adds no span; other columns are kept by ``redact``, whatever their names, while
 ``all_spans`` replaces those that bear the names of its own.
 """
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -111,11 +112,11 @@ def _spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     docs = _running(docs, {f"_starts_{n}": f"_sizes_{n}" for n in patterns})
 
     def found(name: str) -> Column:
-        gaps = F.col(f"_gaps_{name}")
+        gaps, hits = F.col(f"_gaps_{name}"), F.col(f"_hits_{name}")
 
         def one(hit: Column, j: Column) -> Column:
             start = F.col(f"_starts_{name}")[j] + F.length(gaps[j])
-            return F.struct(hit.alias("hit"), start.alias("start"), (start + F.length(hit)).alias("end"), F.right(gaps[j], F.lit(24)).alias("before"), F.left(gaps[j + 1], F.lit(1)).alias("after"))
+            return F.struct(hit.alias("hit"), start.alias("start"), (start + F.length(hit)).alias("end"), _before(gaps, hits, j).alias("before"), F.left(gaps[j + 1], F.lit(1)).alias("after"))
 
         return F.transform(f"_hits_{name}", one)
 
@@ -123,6 +124,17 @@ def _spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return docs.drop(*(f"_{what}_{n}" for n in patterns for what in ("hits", "gaps", "sizes", "starts")))
 
 
+#: Characters before a span that are looked at, and matches that have more of them together, as none has fewer than seven.
+BEFORE, BACK = 24, 4
+
+
+def _before(gaps: Column, hits: Column, j: Column) -> Column:
+    """The text before a match, earlier matches in it."""
+    last = lambda x: F.coalesce(F.right(x, F.lit(BEFORE)), F.lit(""))
+    parts = [last(F.get(x, j - k)) for k in range(BACK, 0, -1) for x in (gaps, hits)]
+    return F.right(F.concat(*parts, last(gaps[j])), F.lit(BEFORE))
+
+
 def _overlaps(spans: str, start: Column, end: Column) -> Column:
     """Whether any of the spans, which are in order and apart, meets [start, end): a binary search for the first that ends behind start."""
     n = F.size(spans)
@@ -217,13 +229,20 @@ def _proposed(based: DataFrame) -> DataFrame:
 
 @dataclass
 class Trees:
-    """Boosted trees of depth two over binned features, the calibrated threshold, and its precision and recall on held-out candidates."""
+    """Boosted trees of depth two over binned features, and by generator the calibrated threshold with its precision and recall on held-out candidates."""
 
     bias: float = 0.0
     trees: list[tuple] = field(default_factory=list)
-    threshold: float = math.inf
-    precision: float = 0.0
-    recall: float = 0.0
+    thresholds: dict[int, float] = field(default_factory=dict)
+    precision: dict[int, float] = field(default_factory=dict)
+    recall: dict[int, float] = field(default_factory=dict)
+
+    def chosen(self, candidate: Column) -> Column:
+        """Whether a candidate reaches its generator's threshold; a generator without one chooses nothing."""
+        score, out = self.column(lambda f: candidate[f]), F.lit(False)
+        for n, least in self.thresholds.items():
+            out = F.when(candidate["generator"] == n, score >= F.lit(least)).otherwise(out)
+        return out
 
     def of(self, row: dict) -> float:
         return self.bias + sum(leaves[2 * (row[f] > c) + (row[g] > d)] for f, c, g, d, leaves in self.trees)
@@ -241,10 +260,13 @@ def boost(fitted: list[tuple[dict, float, float]], held: list[tuple[dict, float,
     """Fit to (features, wrong, right) counts by Newton steps on the logistic loss, and calibrate on others.
 
     The counts have a row for each combination of binned features, so their size does
-    not grow with the documents. Both are given ``PRIOR``.
+    not grow with the documents. ``PRIOR`` is fitted with the others; thresholds come
+    from the held-out candidates of their generator alone: they lie halfway between
+    the last score of the longest leading part of which ``right`` are right and the
+    next score, or, where there is none, at even odds if that is lower.
     """
     prior = [(dict.fromkeys(FEATURES, 0) | row, wrong, yes) for row, wrong, yes in PRIOR]
-    table, held = [*prior, *fitted], [*prior, *held]
+    table = [*prior, *fitted]
     good, bad = sum(t[2] for t in table), sum(t[1] for t in table)
     model = Trees(bias=math.log(good / bad))
     score = [model.bias] * len(table)
@@ -264,12 +286,17 @@ def boost(fitted: list[tuple[dict, float, float]], held: list[tuple[dict, float,
         leaves = [float(step * g[a, b] / (h[a, b] + 1)) for g, h in zip(*sums, strict=True)]
         model.trees.append((*cuts[a], *cuts[b], leaves))
         score = score + np.array(leaves)[(2 * sides[a] + sides[b]).astype(int)]
-    seen = said = 0.0
-    total = sum(t[2] for t in held)
-    for row in sorted(held, key=lambda row: -model.of(row[0])):
-        seen, said = seen + row[1] + row[2], said + row[2]
-        if said >= right * seen:
-            model.threshold, model.precision, model.recall = model.of(row[0]) - 1e-9, said / seen, said / total
+    for n in range(len(GENERATORS)):
+        own = [row for row in held if row[0]["generator"] == n]
+        seen = said = 0.0
+        total = sum(t[2] for t in own)
+        # candidates of one score are taken together
+        groups = [(score, list(rows)) for score, rows in groupby(sorted(own, key=lambda row: -model.of(row[0])), key=lambda row: model.of(row[0]))]
+        for k, (score, rows) in enumerate(groups):
+            seen, said = seen + sum(r[1] + r[2] for r in rows), said + sum(r[2] for r in rows)
+            if said and said >= right * seen:
+                below = (score + groups[k + 1][0]) / 2 if k + 1 < len(groups) else min(score, 0.0) - 1e-9
+                model.thresholds[n], model.precision[n], model.recall[n] = below, said / seen, said / total
     return model
 
 
@@ -293,7 +320,7 @@ def _from(n: int):
 def all_spans(docs: DataFrame, model: Trees, text_col: str = "text", base: str = "_base", out: str = "_spans") -> DataFrame:
     """``docs`` with the base spans and all spans: those that join are chosen candidates apart from base spans and from earlier generators' ones."""
     found = _proposed(_based(docs, text_col, base))
-    found = found.withColumn("_chosen", F.filter("_candidates", lambda s: s["apart"] & (model.column(lambda f: s[f]) >= F.lit(model.threshold))))
+    found = found.withColumn("_chosen", F.filter("_candidates", lambda s: s["apart"] & model.chosen(s)))
     kinds = F.array(*[F.lit(KINDS.index(KIND_OF[g])) for g in GENERATORS])
     found = found.withColumns({f"_new_{n}": F.filter("_chosen", _from(n)) for n in range(len(GENERATORS) - 1)})
     joins = F.filter("_chosen", lambda s: reduce(lambda a, n: a & ~((s["generator"] > n) & _overlaps(f"_new_{n}", s["start"], s["end"])), range(len(GENERATORS) - 1), F.lit(True)))
