@@ -133,13 +133,37 @@ def test_sources(spark, tmp_path):
     assert got.keys() == {"src/a.py", "src/u.ts", "src/l.py", "src/n.c", "x-lock.json", "keep.abc"}
     assert got["src/u.ts"].content == "é" == got["src/l.py"].content and got["src/a.py"].language == "python"
     assert (got["src/n.c"].status, got["x-lock.json"].status, got["src/a.py"].status) == ("skipped:binary", "skipped:json", "ok")
+    (tmp_path / "tree/node_modules/deep").mkdir(parents=True)
+    (tmp_path / "tree/node_modules/deep/a.js").write_bytes(b"x")
+    (tmp_path / "tree/big.ts").write_bytes(b"x" * (600 << 10))
+    rules = ["*.min.js", "node_modules/"]
+    assert [p for p, _ in readers.listed(spark, str(tmp_path / "tree"), rules)] == ["big.ts", "keep.abc", "odd.xyz", "src/a.py", "src/l.py", "src/n.c", "src/u.ts", "x-lock.json"]
+    assert [p for p, _ in readers.listed(spark, str(tmp_path / "tree"), [*rules, "!a.js"])] == ["big.ts", "keep.abc", "node_modules/deep/a.js", "odd.xyz", "src/a.py", "src/l.py", "src/n.c", "src/u.ts", "x-lock.json"]
+    kept = readers.file_tree(spark, str(tmp_path / "tree"), rules)
+    assert {(r.path, r.status, r.size) for r in kept.collect() if r.status == "skipped:large"} == {("big.ts", "skipped:large", 600 << 10)}
+    assert {f.split("/tree/")[1] for f in kept.inputFiles() if "/tree/" in f} == {"src/a.py", "src/u.ts", "src/l.py", "src/n.c", "x-lock.json"}  # and nothing else is opened
     tasks = readers.project_tasks(spark.createDataFrame([("package.json", '{"scripts": {"build": "x"}}'), ("Makefile", "all: x\n\tfoo\nA := 1\n"), ("Cargo.toml", ""), ("justfile", "run a:\n  x\n")], "path string, content string"))
     assert {(r.name, r.command) for r in tasks.where("type <> 'cargo'").collect()} == {("build", "npm run build"), ("all", "make all"), ("run", "just run")}
+    assert [r.description for r in tasks.where("type = 'npm'").collect()] == ["x"]
     cache = spark.createDataFrame([("5d41402abc4b2a76b9719d911017c592", [1.0])], "key string, vector array<float>")
     texts = spark.createDataFrame([("hello",), ("new",), ("new",)], "text string")
+    assert [r.text for r in readers.embedding_misses(texts, cache, width=2).collect()].count("hello") == 1
     assert [r.text for r in readers.embedding_misses(texts, cache).collect()] == ["new"] and readers.cached_embeddings(texts, cache).where("vector is not null").count() == 1
 
 
+def test_character_sets(spark):
+    from weftline.functions import charset
+    from weftline.plans.catalogue_edits import SENTENCES
+
+    for name, sentences in SENTENCES.items():
+        for text in sentences:
+            assert charset.decoded(f"// {text}\nx = 1\n".encode(name))[1] == f"// {text}\nx = 1\n", (name, text)
+    assert charset.decoded("Καλημέρα κόσμε, τι κάνεις σήμερα".encode("cp1253")) == ("cp1253", "Καλημέρα κόσμε, τι κάνεις σήμερα")
+    assert charset.decoded(b"\x81\x8d\x8f\x90\x9d\xff")[1] is not None and charset.decoded(b"") == ("latin_1", "")
+    rows = spark.createDataFrame([(1, bytearray("Привет, как дела сегодня".encode("cp1251"))), (2, bytearray("plain é".encode())), (3, None), (4, bytearray(b"")), (5, bytearray("é".encode("utf-16")))], "id int, raw binary")
+    assert {r.id: r.t for r in rows.select("id", readers.decoded(F.col("raw")).alias("t")).collect()} == {1: "Привет, как дела сегодня", 2: "plain é", 3: None, 4: "", 5: "é"}
+
+
 def test_datasets(spark, tmp_path):
     line = '{"id": "a", "query": "q", "retrieved": ["x"], "relevant": {"x": 1}}'
     for name, body in (("a.jsonl", line + "\n" + line), ("b.json", f'{{"cases": [{line}]}}'), ("c.json", f"[{line}]")):

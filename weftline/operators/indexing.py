@@ -87,11 +87,11 @@ def younger_than(cache: DataFrame, now_ms: int, most_ms: int, written: str = "wr
 
 
 def graph_states(files: DataFrame, states: DataFrame) -> DataFrame:
-    """(path, hash, status): skipped where the language has no extractor, indexed where the hash is known, else pending."""
+    """(path, hash, status): skipped where the language has no extractor, indexed or error where the hash has been tried, else pending."""
     known = states.select("path", F.col("hash").alias("_hash"), F.col("status").alias("_status"))
     fits = F.lower(F.substring_index("path", ".", -1)).isin("ts", "tsx", "js", "jsx")
-    done = F.col("_hash").eqNullSafe(F.col("hash")) & F.col("_status").eqNullSafe(F.lit("indexed"))
-    return files.join(known, "path", "left").select("path", "hash", F.when(~fits, "skipped").when(done, "indexed").otherwise("pending").alias("status"))
+    tried = F.col("_hash").eqNullSafe(F.col("hash")) & F.coalesce(F.col("_status").isin("indexed", "error"), F.lit(False))
+    return files.join(known, "path", "left").select("path", "hash", F.when(~fits, "skipped").when(tried, F.col("_status")).otherwise("pending").alias("status"))
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -482,11 +482,14 @@ def path_glob_filter(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).where(fx.path_matches(F.col("path"), INCLUDE, EXCLUDE)).select("doc_id", "path")
 
 
-@query("WITH t AS (SELECT DISTINCT md5(text) AS key FROM documents WHERE text IS NOT NULL), c AS (SELECT DISTINCT md5(text) AS key FROM documents WHERE doc_id % 3 = 0) SELECT key FROM t WHERE key NOT IN (SELECT key FROM c WHERE key IS NOT NULL)")
+@query("WITH t AS (SELECT DISTINCT md5(text) AS key FROM documents WHERE text IS NOT NULL), c AS (SELECT DISTINCT md5(text) AS key FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0) SELECT key FROM t WHERE key NOT IN (SELECT key FROM c WHERE key IS NOT NULL)")
 def embedding_cache_misses(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "documents").where("text is not null")
-    cache = texts.where("doc_id % 3 = 0").select(F.md5(F.encode("text", "utf-8")).alias("key"))
-    return embedding_misses(texts.select("text"), cache).select("key")
+    # entries of documents whose id is divisible by 4 are corrupt: empty, too short, not a number, or null
+    bad = F.when(F.col("doc_id") % 16 == 0, F.array().cast("array<float>")).when(F.col("doc_id") % 16 == 4, F.array(F.lit(1.0).cast("float"))).when(F.col("doc_id") % 16 == 8, F.array(F.lit(float("nan")).cast("float"), F.lit(0.5).cast("float")))
+    vector = F.when(F.col("doc_id") % 4 == 0, bad).otherwise(F.array(F.lit(0.5).cast("float"), F.col("doc_id").cast("float")))
+    cache = texts.where("doc_id % 3 = 0").select(F.md5(F.encode("text", "utf-8")).alias("key"), vector.alias("vector"))
+    return embedding_misses(texts.select("text"), cache, width=2).select("key")
 
 
 @query(

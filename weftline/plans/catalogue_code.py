@@ -216,11 +216,11 @@ def latest_rows(spark: SparkSession, sf: str) -> DataFrame:
     return indexing.last_wins(table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("n")), "id", "n")
 
 
-@query(f"WITH {FILES} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'skipped' WHEN doc_id % 5 = 0 THEN 'indexed' ELSE 'pending' END AS status FROM files")
+@query(f"WITH {FILES} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'skipped' WHEN doc_id % 10 = 0 THEN 'error' WHEN doc_id % 5 = 0 THEN 'indexed' ELSE 'pending' END AS status FROM files")
 def graph_index_states(spark: SparkSession, sf: str) -> DataFrame:
     path = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".py").otherwise(".ts"))
     rows = files(spark, sf).withColumn("path", path)
-    states = rows.where("doc_id % 5 = 0 or doc_id % 7 = 0").select("path", F.when(F.col("doc_id") % 5 == 0, F.col("hash")).otherwise("old").alias("hash"), F.lit("indexed").alias("status"))
+    states = rows.where("doc_id % 5 = 0 or doc_id % 7 = 0").select("path", F.when(F.col("doc_id") % 5 == 0, F.col("hash")).otherwise("old").alias("hash"), F.when(F.col("doc_id") % 2 == 0, "error").otherwise("indexed").alias("status"))
     return indexing.graph_states(rows, states).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "status")
 
 

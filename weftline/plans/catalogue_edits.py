@@ -9,6 +9,7 @@ from weftline.functions import text as fx
 from weftline.operators import diffs
 from weftline.plans.catalogue import RRF, TERMS, _probe, query
 from weftline.plans.hybrid import hybrid_search
+from weftline.sources import readers
 from weftline.sources.tables import files, table
 
 
@@ -59,3 +60,26 @@ def hybrid_search_languages(spark: SparkSession, sf: str) -> DataFrame:
     rows = files(spark, sf).withColumn("source_name", F.substring_index("path", "/", 1))
     found = hybrid_search(rows, table(spark, sf, "embeddings").select("vec_id", "embedding"), _probe(spark, sf), TERMS, languages=["de", "fr"])
     return found.select("doc_id", F.round("score", 6).alias("score"), "source")
+
+
+# Sentences by character set; a file has two of its set and its document's number.
+SENTENCES = {
+    "cp1251": ["Сегодня утром на улице было очень холодно", "Программа читает файл и выводит результат", "Он сказал, что вернётся через два часа", "Эта функция возвращает список всех имён"], "koi8_r": ["Мы работаем над новой версией системы", "Проверь, пожалуйста, настройки сервера", "Каждый день приносит что-то новое", "Ошибка в третьей строке исходного текста"],
+    "shift_jis": ["これは設定ファイルの読み込みに使う関数です", "今日はとても寒いので家にいました", "エラーが発生した場合は再起動してください", "新しい機能を追加しました"], "euc_jp": ["この関数はリストの長さを返します", "ユーザーの名前を入力してください", "データベースに接続できませんでした", "彼は昨日東京へ行きました"],
+    "gb18030": ["这个函数返回所有用户的列表", "今天天气很好我们去公园玩", "如果文件不存在就创建一个新的文件", "他说他明天会来看我们"], "big5": ["這個函數會返回所有使用者的列表", "今天天氣很好我們去公園玩", "如果檔案不存在就建立一個新的", "他說他明天會來看我們"],
+    "euc_kr": ["이 함수는 모든 사용자의 목록을 반환합니다", "오늘은 날씨가 아주 좋습니다", "파일이 없으면 새로 만들어 주세요", "서버에 연결할 수 없습니다"], "cp1252": ["Die Änderung wurde für alle Größen übernommen", "L’été dernier, nous étions très fatigués", "El niño preguntó cuándo volvería mañana", "Das Ergebnis muß später geprüft werden"],
+}
+_SETS = list(SENTENCES)
+
+
+@query(
+    "WITH s AS (SELECT doc_id, CASE doc_id % 8 "
+    + " ".join(f"WHEN {k} THEN [{', '.join(repr(x) for x in SENTENCES[name])}]" for k, name in enumerate(_SETS))
+    + " END AS x FROM documents) SELECT doc_id, md5(x[doc_id // 8 % 4 + 1] || ' x' || doc_id || chr(10) || x[doc_id // 32 % 4 + 1]) AS text_md5 FROM s"
+)
+def decoded_charsets(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    pick = lambda by: F.element_at(F.array(*[F.array(*[F.lit(x.encode(name).hex()) for x in SENTENCES[name]]) for name in _SETS])[(d % 8).cast("int")], (F.floor(d / by) % 4 + 1).cast("int"))
+    own = F.hex(F.encode(F.concat(F.lit(" x"), d.cast("string"), F.lit("\n")), "utf-8"))
+    rows = table(spark, sf, "documents").select("doc_id", F.unhex(F.concat(pick(8), own, pick(32))).alias("raw"))
+    return rows.select("doc_id", F.md5(F.encode(readers.decoded(F.col("raw")), "utf-8")).alias("text_md5"))
