@@ -108,6 +108,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
                 found = iter(mixed.view(np.int64).tolist() if live else [])
                 out = [[xxhash.xxh3_128_digest(s.tobytes()), len(s), next(found)] if len(s) else [None, None, None] for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=[id_col, "_text_hash", "set_hash", "n_grams", "bands"])
+        _word_hashes.cache_clear()  # workers go on to other operators
 
     schema = T.StructType([docs.schema[id_col], T.StructField("_text_hash", T.LongType()), T.StructField("set_hash", T.BinaryType()), T.StructField("n_grams", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return texts(docs, id_col, text_col).withColumn("_text_hash", F.xxhash64(text_col)).mapInArrow(run, schema)
@@ -285,6 +286,7 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
                 holds = pa.array([xxhash.xxh3_128_digest(s) == key for s, key in zip(sets, part.column("set_hash").to_pylist(), strict=True)], pa.bool_())
                 out = pa.RecordBatch.from_arrays([part.column("set_hash"), part.column("bands"), pa.array(sets, pa.binary())], names=["set_hash", "bands", "grams"])
                 yield out.filter(holds)
+        _word_hashes.cache_clear()
 
     id_type = docs.schema[id_col].dataType
     small = texts(docs, id_col, text_col).withColumn("_text_hash", F.xxhash64(text_col)).mapInArrow(press, T.StructType([T.StructField("from_id", id_type), T.StructField("from_text", T.LongType()), T.StructField("z", T.BinaryType())]))

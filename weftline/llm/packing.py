@@ -28,7 +28,7 @@ from weftline.llm.bpe import LONGEST
 from weftline.llm.common import texts, written
 
 #: Chunks whose ids a worker remembers, in each of two generations.
-KNOWN_CHUNKS = 200_000
+KNOWN_CHUNKS = 400_000
 #: Tokens of a window, windows that a partition keeps open, least gap worth a cut, partitions whose leftovers meet.
 WINDOW, OPEN, LEAST_CUT, MEET = 2048, 32, 16, 64
 
