@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,6 +120,50 @@ def test_greedy_batches(spark, sizes, limit, want):
     assert [r.batch for r in context.greedy_batches(rows, "g", "k", "s", limit).orderBy("k").collect()] == want
 
 
+def brute_batches(rows, limit):
+    """Batch of each row, by one walk through each group."""
+    out, at, used, n = {}, None, 0, -1
+    for g, k, s in sorted(rows, key=lambda r: (r[0], r[1])):
+        if g != at:
+            at, used, n = g, 0, -1
+        if n < 0 or used + (s or 0) > limit:
+            used, n = 0, n + 1
+        used += s or 0
+        out[(g, k)] = n
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40])
+def test_batches_of_groups_in_many_ranges(spark, limit):
+    rng = random.Random(limit)
+    rows = [("hot", k, rng.choice([0, 0, 1, 2, 3, 9, 50, None])) for k in range(3000)] + [(f"g{k % 60:02}", k, rng.randrange(5)) for k in range(400)] + [("zero", k, 0) for k in range(50)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = context.greedy_batches(spark.createDataFrame(rows, "g string, k int, s int").repartition(5), "g", "k", "s", limit).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows) and {(r.g, r.k): r.batch for r in got} == brute_batches(rows, limit)
+
+
+def test_effects_are_few_and_right():
+    rng = random.Random(1)
+    for _ in range(300):
+        limit, sizes = rng.randrange(1, 20), [rng.randrange(8) for _ in range(rng.randrange(1, 40))]
+        found = context.batch_effects(np.array(sizes), limit)
+        for used in [*range(limit + 1), limit + 30]:
+            u, n = used, 0
+            for s in sizes:
+                if u + s > limit:
+                    u, n = 0, n + 1
+                u += s
+            upto, begun, left = next(f for f in found if f[0] is None or used + f[0] > limit)
+            assert (begun, left + (used if upto is None else 0)) == (n, u)
+    assert len(context.batch_effects(np.array([rng.randrange(1, 9) for _ in range(100_000)]), 1000)) < 60
+
+
 def test_runs(spark):
     rows = spark.createDataFrame([("c", k, v) for k, v in enumerate(["x", "x", "y", None, None, "x"])], "c string, k int, v string")
     got = sorted(((r.v, r.run_start, r.run_end, r.n) for r in context.runs(rows, "c", "k", "v").collect()), key=lambda r: r[1])

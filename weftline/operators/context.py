@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from weftline.functions.text import line_of, parent_prefix
 from weftline.operators.retrieval import per_group_cap
-from weftline.plans.lineage import written
+from weftline.plans.lineage import Scratch, written
 
 # Score decays of the expansions.
 NEIGHBOUR, BREADCRUMB, IMPORT, DEPTH = 0.8, 0.7, 0.6, 0.7
@@ -152,27 +153,106 @@ def _literal(row: Row, kind: T.StructType) -> Column:
 def greedy_batches(rows: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
     """(group, order, batch), batches from 0 in each group: rows in order, a batch closing before it would exceed ``limit``.
 
-    A row larger than the limit is a batch of its own. Where a batch ends depends on
-    all rows before it, so a group's rows pass through one task, as a stream of
-    sorted numbers of which only the running sum is held.
+    A row larger than the limit is a batch of its own; a null size is 0. Where a batch
+    ends depends on all rows before it, but only through what is in the open batch.
+    So a group is cut into ranges, and each range tells, for what may be in the batch
+    that is open before it, how many batches begin in it and what is in the last one.
+    Batches that begin at different rows soon begin at the same ones, so that is a few
+    rows a range. Those alone pass in order through one task a group; then every range
+    numbers its own rows.
     """
-    narrow = rows.select(group, order, F.col(size).cast("long").alias("_size"))
-    schema = narrow.schema[:2].add("batch", "integer")
+    tables = Scratch(rows.sparkSession, "batches")
+    narrow = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("s"))
+    number = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    kept = T.StructType([*(T.StructField(f.name, f.dataType) for f in narrow.schema.fields), *number("part", "upto", "begun", "left"), T.StructField("is_row", T.BooleanType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+
+        def told(kind: tuple, g, sizes: list[int]) -> pa.RecordBatch:
+            found = batch_effects(np.array(sizes, dtype=np.int64), limit)
+            n = len(found)
+            columns = [pa.array([g] * n, kind[0]), pa.nulls(n, kind[1]), pa.nulls(n, pa.int64()), pa.array([part] * n, pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3)), pa.array([False] * n)]
+            return pa.RecordBatch.from_arrays(columns, names=kept.names)
+
+        at, sizes, kind = None, [], ()
+        for batch in batches:
+            kind = (batch.schema.field(0).type, batch.schema.field(1).type)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int64()), *[pa.nulls(n, pa.int64())] * 3, pa.array([True] * n)], names=kept.names)
+            for g, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if at != (g,):
+                    if at:
+                        yield told(kind, at[0], sizes)
+                    at, sizes = (g,), []
+                sizes.append(s)
+        if at:
+            yield told(kind, at[0], sizes)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, begun, used, number = None, False, 0, -1
+        here, used, n, done = None, 0, 0, True
         for batch in batches:
             out = []
-            for g, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not begun or g != at:
-                    at, begun, used, number = g, True, 0, -1
-                if number < 0 or used + (s or 0) > limit:
-                    used, number = 0, number + 1
-                used += s or 0
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=[group, order, "batch"])
-
-    return narrow.repartition(group).sortWithinPartitions(group, order).mapInArrow(fold, schema)
+            for g, part, upto, begun, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here is None or here[0] != g:
+                    used, n = limit + 1, -1  # a group's first row begins a batch
+                if here != (g, part):
+                    here, done = (g, part), False
+                    out.append((g, part, used, n))
+                    before = used
+                if not done and (upto is None or before + upto > limit):
+                    used, n, done = (before if upto is None else 0) + left, n + begun, True
+            columns = [[o[k] for o in out] for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, *[pa.int64()] * 3), strict=True)], names=["g", "part", "used", "n"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = n = 0
+        for batch in batches:
+            keep, out = [], []
+            for s, had, begun in zip(*(batch.column(c).to_pylist() for c in ("s", "used", "n")), strict=True):
+                keep.append(had is None)
+                if had is not None:
+                    used, n = had, begun
+                    continue
+                if used + s > limit:
+                    used, n = 0, n + 1
+                used += s
+                out.append(n)
+            rows_ = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([rows_.column("g"), rows_.column("o"), pa.array(out, pa.int32())], names=[group, order, "batch"])
+
+    ranged = tables.written(narrow.repartitionByRange("g", "o").sortWithinPartitions("g", "o").mapInArrow(cut, kept), "ranges", partition_by=("is_row",))
+    # what a range does is in order of what has to be in the open batch for it; a null one is for all else
+    effects = ranged.where("not is_row").select("g", "part", "upto", "begun", "left").repartition("g").sortWithinPartitions("g", "part", F.col("upto").asc_nulls_last())
+    starts = effects.mapInArrow(fold, T.StructType([T.StructField("g", narrow.schema["g"].dataType), *number("part", "used", "n")]))
+    both = ranged.where("is_row").select("g", "o", "s", "part").unionByName(starts, allowMissingColumns=True)
+    dealt = both.repartition("part").sortWithinPartitions("part", "g", F.col("used").isNull(), "o").select("g", "o", "s", "used", "n")
+    return dealt.mapInArrow(numbered, T.StructType([T.StructField(group, narrow.schema["g"].dataType), T.StructField(order, narrow.schema["o"].dataType), T.StructField("batch", T.IntegerType())]))
+
+
+def batch_effects(sizes: np.ndarray, limit: int) -> list[tuple[int | None, int, int]]:
+    """What rows do to the batches: (upto, begun, left) in order; the first with used + upto > limit holds.
+
+    ``used`` is what the batch that is open before the rows has, ``begun`` the batches
+    that begin in them and ``left`` what the last one has. The last entry, without
+    ``upto``, is for a batch that takes all rows in; ``left`` is then what they add.
+    """
+    sums = np.cumsum(sizes)
+    before = sums - sizes
+    # the batch after one that begins at a row, and, from the last row back, how many follow and what the last has
+    after = np.maximum(np.searchsorted(sums, before + limit, side="right"), np.arange(len(sizes)) + 1).tolist()
+    begun, left, n = [1] * len(sizes), (sums[-1] - before).tolist() if len(sizes) else [], len(sizes)
+    for k in range(n - 1, -1, -1):
+        if after[k] < n:
+            begun[k], left[k] = begun[after[k]] + 1, left[after[k]]
+    out: list[tuple[int | None, int, int]] = []
+    for k in np.flatnonzero((before <= limit) & ((sizes > 0) | (np.arange(n) == 0))).tolist():
+        if out and out[-1][1:] == (begun[k], left[k]):
+            out.pop()  # one entry for neighbours that do the same
+        out.append((int(sums[k]), begun[k], left[k]))
+    return [*out, (None, 0, int(sums[-1]) if n else 0)]
 
 
 def runs(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
