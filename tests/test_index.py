@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,32 @@ def test_readers_see_a_version_whole(spark, tmp_path):
     assert sorted(r.k for r in table.read().collect()) == [*range(10), 50, 51]
     with pytest.raises(FileExistsError):
         table.publish(staged)
+
+
+def test_positions_are_packed_and_read_back():
+    rng = random.Random(5)
+    rows = [sorted(rng.sample(range(1 << 31), rng.choice([0, 1, 3, 40]))) for _ in range(50)] + [[0, 127, 128, 16511, 2_113_663], []]
+    found = postings.packed(np.array([v for r in rows for v in r], dtype=np.int64), np.array([len(r) for r in rows]))
+    values, counts = postings.unpacked(found.slice(2, 53))
+    assert values.tolist() == [v for r in rows[2:55] for v in r] and counts.tolist() == [len(r) for r in rows[2:55]]
+
+
+def test_neither_upsert_nor_compact_shuffles_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "GROUP", 300)  # several groups in each task
+    plans = []
+    monkeypatch.setattr(TrigramIndex, "_write", lambda self, rows, segment, write=TrigramIndex._write: plans.append(rows) or write(self, rows, segment))
+    rows = texts(300)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    index = TrigramIndex(spark, str(tmp_path / "i"), ("body", "title"), buckets=4)
+    index.upsert(docs)
+    index.delete(docs.where("doc_id % 3 = 0"))
+    index.upsert(docs.where("doc_id % 5 = 0").withColumn("body", F.lit("token license")))
+    index.compact(most_segments=1)
+    assert "Exchange" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    plan = plans[-1]._jdf.queryExecution().executedPlan().toString()
+    postings_side = plan.split("BroadcastHashJoin")[1].split("BroadcastExchange")[0]
+    assert "Exchange" not in postings_side.replace("BroadcastExchange", "") and "FileScan" in postings_side
+    now = docs.where("doc_id % 3 <> 0 or doc_id % 5 = 0").withColumn("body", F.when(F.col("doc_id") % 5 == 0, "token license").otherwise(F.col("body")))
+    assert index.occurrences(["license"]).where("doc_id % 3 = 0 and doc_id % 5 <> 0").count() == 0
+    for terms in (["license", "token"], ["aaa"], ["é🙂é", "the token"]):
+        assert shown(index.search(terms)) == shown(retrieval.bm25(now, terms, {"body": 1.0, "title": 1.0}))

@@ -1,9 +1,13 @@
 """A stored trigram index: postings by trigram, document lengths by id, searches by phrase.
 
-A posting is a trigram in a field of a document, with its sorted positions, which
-Parquet delta-codes. Postings lie in buckets by trigram, sorted by it, so a search
-opens the buckets of its trigrams and skips what else is in them. A term's occurrences
-are the positions at which trigrams that cover it stand at the right distances.
+Documents are taken by the group, one after the other with a gap between them, so a
+number tells document and position. A row is a trigram in a field of a group, with its
+sorted positions as differences of few bytes; a row of the number ``HEAD`` tells the
+group's documents and where they start. Rows lie in buckets by trigram, sorted by it,
+so a search opens the buckets of its trigrams and skips what else is in them. A term's
+occurrences are the positions at which trigrams that cover it stand at the right
+distances. Tasks write the postings of their documents where they are, so no posting
+is shuffled.
 
 An upsert adds postings of the changed documents in a folder of its own and gives the
 documents a new version; a delete takes documents out of the table of lengths. Either
@@ -27,6 +31,8 @@ from weftline.plans.lineage import Scratch
 from weftline.sources.keyed import KeyedTable
 
 _BITS = 21  # a code point; three of them are a trigram's number
+#: Instead of a trigram: the row of a group's documents. Characters of a group, a longer document alone.
+HEAD, GROUP = -1, 2_000_000
 
 
 def grams_of(text: str) -> np.ndarray:
@@ -46,6 +52,58 @@ def cover(term: str) -> list[tuple[int, int]]:
     return [(int(grams[k]), k) for k in sorted({*range(0, len(grams), 3), len(grams) - 1})]
 
 
+def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Ascending numbers, ``counts`` of them in each row, as differences of seven bits a byte."""
+    steps, first = np.diff(values, prepend=0), (np.cumsum(counts) - counts)[counts > 0]
+    steps[first] = values[first]
+    size = 1 + sum((steps >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(ends[-1], dtype=np.uint8)
+    for k in range(int(size.max(initial=0))):
+        more = np.flatnonzero(size > k)
+        out[ends[more] + k] = steps[more] >> 7 * k & 127 | np.where(size[more] > k + 1, 128, 0)
+    offsets = ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def unpacked(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows one after the other, and how many each row has; a null row has none."""
+    rows = rows.fill_null(b"")
+    offsets = np.frombuffer(rows.buffers()[1], dtype=np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    data = np.frombuffer(rows.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    last = np.flatnonzero(data < 128)
+    begin = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
+    size, steps = last - begin + 1, np.zeros(len(last), dtype=np.int64)
+    for k in range(int(size.max(initial=0))):
+        more = np.flatnonzero(size > k)
+        steps[more] |= (data[begin[more] + k].astype(np.int64) & 127) << 7 * k
+    first = np.searchsorted(last, offsets - offsets[0])
+    sums, counts = np.concatenate(([0], np.cumsum(steps))), np.diff(first)
+    return sums[1:] - np.repeat(sums[first[:-1]], counts), counts
+
+
+def _group_rows(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(grams, fields, packed positions, starts): the postings of a group of documents, whose texts are given by field."""
+    parts, starts = [], []
+    for field, own in enumerate(texts):
+        size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        start = np.cumsum(size + 1) - size - 1
+        starts.append(start.astype(np.int32))
+        grams = grams_of("\n".join(own))
+        inside = np.ones(len(grams) + 3, dtype=bool)
+        for back in (0, 1, 2):  # trigrams that reach into the gap or over it
+            at = start + size - back
+            inside[at[(at >= 0) & (at < len(inside))]] = False
+        at = np.flatnonzero(inside[: len(grams)])
+        grams = grams[at]
+        order = np.argsort(grams, kind="stable")  # positions stay in order within a trigram
+        ranked = grams[order]
+        first = np.flatnonzero(np.diff(ranked, prepend=HEAD))
+        parts.append((ranked[first], np.full(len(first), field, dtype=np.int32), packed(at[order], np.diff(np.append(first, len(grams))))))
+    grams, fields = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    return grams, fields, pa.concat_arrays([p[2] for p in parts]), np.concatenate(starts)
+
+
 class TrigramIndex:
     """The index of ``fields`` of documents below a folder."""
 
@@ -55,33 +113,52 @@ class TrigramIndex:
 
     # changes
 
+    def _fields(self, id_field: T.StructField) -> list[T.StructField]:
+        ids, starts = T.StructField("ids", T.ArrayType(id_field.dataType)), T.StructField("starts", T.ArrayType(T.IntegerType()))
+        return [T.StructField("gram", T.LongType()), T.StructField("field", T.IntegerType()), T.StructField("docs", T.LongType()), T.StructField("positions", T.BinaryType()), ids, starts]
+
     def _postings(self, docs: DataFrame) -> DataFrame:
-        """(bucket, gram, field, id, positions) of each trigram of each field of each document."""
+        """(bucket, gram, field, docs, positions, ids, starts): rows of trigrams of groups of documents, and of the groups themselves."""
         n_fields, buckets = len(self.fields), self.buckets
-        schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("field", T.IntegerType()), docs.schema[self.id_col], T.StructField("positions", T.ArrayType(T.IntegerType()))])
+        schema = T.StructType([T.StructField("bucket", T.IntegerType()), *self._fields(docs.schema[self.id_col])])
+
+        def group(number: int, ids: pa.Array, texts: list[list[str]]) -> pa.RecordBatch:
+            grams, fields, positions, starts = _group_rows(texts)
+            own = bucket_of(grams, buckets)
+            met = np.unique(own)
+            n, m = len(met), len(grams)
+            ends = lambda size: pa.array(np.concatenate((np.arange(n + 1), np.full(m, n))) * size, pa.int32())
+            lists = lambda values: pa.ListArray.from_arrays(ends(len(values)), pa.concat_arrays([values] * n) if n else values[:0])
+            columns = [
+                np.concatenate((met, own)), np.concatenate((np.full(n, HEAD), grams)), np.concatenate((np.full(n, HEAD, dtype=np.int32), fields)), np.full(n + m, number),
+                pa.concat_arrays([pa.array([b""] * n, pa.binary()), positions]), lists(ids), lists(pa.array(starts)),
+            ]
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema.names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [[] for _ in range(n_fields)], 0
             for batch in batches:
-                for row in range(batch.num_rows):
-                    for field in range(n_fields):
-                        grams = grams_of(batch.column(field + 1)[row].as_py())
-                        if not len(grams):
-                            continue
-                        order = np.argsort(grams, kind="stable").astype(np.int32)  # positions stay in order within a trigram
-                        ranked = grams[order]
-                        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                        own = ranked[first]
-                        ids = batch.column(0).take(pa.array(np.full(len(own), row)))
-                        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(grams)).astype(np.int32)), pa.array(order))
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket_of(own, buckets)), pa.array(own), pa.array(np.full(len(own), field, dtype=np.int32)), ids, lists], names=schema.names)
+                for row, own in enumerate(zip(*(batch.column(f + 1).to_pylist() for f in range(n_fields)), strict=True)):
+                    for field, text in zip(texts, own, strict=True):
+                        field.append(text)
+                        size += len(text)
+                    ids.append(batch.column(0).slice(row, 1))
+                    if size >= GROUP:
+                        yield group(number, pa.concat_arrays(ids), texts)
+                        number, ids, texts, size = number + 1, [], [[] for _ in range(n_fields)], 0
+            if ids:
+                yield group(number, pa.concat_arrays(ids), texts)
 
         low = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"_f{k}") for k, c in enumerate(self.fields)]
         return docs.select(self.id_col, *low).mapInArrow(run, schema)
 
     def _write(self, rows: DataFrame, segment: int) -> list[int]:
         into = f"{self.folder}/postings/segment={segment}"
-        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", self.id_col)
-        dealt.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#positions.list.element", "false").partitionBy("bucket").parquet(into)
+        # each task's own rows in order; the rows of groups are the first of a file
+        dealt = rows.sortWithinPartitions("bucket", "gram", "version", "docs", "field")
+        dealt.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#positions", "false").partitionBy("bucket").parquet(into)
         return [int(n.split("=")[1]) for n in self.lengths.files.names(into) if n.startswith("bucket=")]
 
     def _sizes(self, docs: DataFrame, segment: int) -> DataFrame:
@@ -119,20 +196,68 @@ class TrigramIndex:
         segments = before["notes"]["segments"]
         due = [b for b, s in segments.items() if len(s) > most]
         if due:
-            live = self._read({b: segments[b] for b in due}).join(self.lengths.read(before).select(self.id_col, "version"), [self.id_col, "version"], "left_semi")
+            live = self._live({b: segments[b] for b in due}, before)
             segment = before["number"] + 1
             written = self._write(live, segment)
             left = {b: s for b, s in segments.items() if b not in due} | {str(b): [segment] for b in written}
             self._publish(before | {"number": segment}, left)
         return [int(b) for b in due]
 
+    def _live(self, segments: dict[str, list[int]], version: dict) -> DataFrame:
+        """The postings of documents that are in a version.
+
+        The number of each live document in its group is sent to all tasks, with the
+        rows of groups alone, which come before their postings; a part of a file that
+        begins after them keeps its postings as they are.
+        """
+        rows = self._read(segments)
+        heads = rows.where(F.col("gram") == HEAD).groupBy("version", "docs").agg(F.first("ids").alias("ids"))
+        own = heads.select("version", "docs", F.posexplode("ids").alias("n", self.id_col))
+        known = own.join(self.lengths.read(version).select(self.id_col, "version"), [self.id_col, "version"], "left_semi")
+        numbers = known.groupBy("version", "docs").agg(F.collect_list("n").alias("live")).withColumn("gram", F.lit(HEAD).cast("long"))
+        columns, n_fields = rows.columns, len(self.fields)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met: dict[tuple[int, int], int] = {}  # the place of a group's first field among those of all groups; less than 0 where nothing lives
+            starts, alive, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)], 0
+            for batch in batches:
+                at = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
+                keys = list(zip(at["version"].to_pylist(), at["docs"].to_pylist(), strict=True))
+                head, field = at["gram"].to_numpy() == HEAD, at["field"].to_numpy()
+                for row in np.flatnonzero(head):
+                    if keys[row] in met:
+                        continue
+                    met[keys[row]] = -n_fields - 1
+                    if (live := at["live"][row].values) is not None:
+                        good = np.zeros(len(at["ids"][row].values), dtype=bool)
+                        good[live.to_numpy()] = True
+                        met[keys[row]] = places
+                        own = at["starts"][row].values.to_numpy().reshape(n_fields, -1)
+                        starts.append((own | np.arange(places, places + n_fields)[:, None] << 32).ravel())
+                        alive.append(np.tile(good, n_fields))
+                        places += n_fields
+                if len(starts) > 1:
+                    starts, alive = [np.concatenate(starts)], [np.concatenate(alive)]
+                unknown = 1 << 30
+                place = np.fromiter((met.get(k, unknown) for k in keys), dtype=np.int64, count=len(keys)) + field
+                values, counts = unpacked(at["positions"])
+                asked = np.repeat(place, counts)
+                keep = asked >= unknown - 1
+                ours = np.flatnonzero((asked >= 0) & ~keep)
+                keep[ours] = alive[0][np.searchsorted(starts[0], asked[ours] << 32 | values[ours], side="right") - 1]
+                left = np.bincount(np.repeat(np.arange(len(keys)), counts)[keep], minlength=len(keys))
+                at["positions"] = packed(values[keep], left)
+                yield pa.RecordBatch.from_arrays([at[c] for c in columns], names=columns).filter(pa.array((left > 0) | (head & (place >= HEAD))))
+
+        return rows.join(F.broadcast(numbers), ["version", "docs", "gram"], "left").select(*columns, "live").mapInArrow(run, rows.schema)
+
     # searches
 
     def _read(self, segments: dict[str, list[int]]) -> DataFrame:
-        schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("field", T.IntegerType()), self._id_field(), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("version", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+        schema = T.StructType([*self._fields(self._id_field()), T.StructField("version", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
         paths = [f"{self.folder}/postings/segment={s}/bucket={b}" for b, found in segments.items() for s in found]
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).drop("segment")
         return self.spark.read.schema(schema).option("basePath", f"{self.folder}/postings").parquet(*paths).drop("segment")
 
     def _id_field(self) -> T.StructField:
@@ -140,18 +265,36 @@ class TrigramIndex:
 
     def occurrences(self, terms: list[str], fields: list[str] | None = None) -> DataFrame:
         """(id, version, field, term, n): how often each term, by its place in ``terms``, stands in a field; stale postings too."""
-        wanted = [(gram, k, offset) for k, t in enumerate(terms) for gram, offset in cover(t)]
+        covers = [cover(t) for t in terms]
+        grams = sorted({g for c in covers for g, _ in c})
+        asked = [self.fields.index(f) for f in fields or self.fields]
         notes = self.lengths.version()["notes"]
-        met = {str(b) for b in bucket_of(np.array([g for g, *_ in wanted], dtype=np.int64), self.buckets)}
-        rows = self._read({b: s for b, s in notes["segments"].items() if b in met}).where(F.col("gram").isin(sorted({g for g, *_ in wanted})))
-        rows = rows.where(F.col("field").isin([self.fields.index(f) for f in fields or self.fields]))
-        asked = F.broadcast(self.spark.createDataFrame(wanted, "gram long, term int, offset int"))
-        starts = rows.join(asked, "gram").select(self.id_col, "version", "field", "term", F.transform("positions", lambda p: p - F.col("offset")).alias("starts"))
-        needed = F.create_map(*[F.lit(x) for k, t in enumerate(terms) for x in (k, len(cover(t)))])
-        # a document has as many lists as the term has trigrams
-        both = starts.groupBy(self.id_col, "version", "field", "term").agg(F.collect_list("starts").alias("lists")).where(F.size("lists") == needed[F.col("term")])
-        common = F.aggregate(F.slice("lists", 2, F.size("lists")), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
-        return both.select(self.id_col, "version", "field", "term", F.size(common).alias("n")).where("n > 0")
+        met = {str(b) for b in bucket_of(np.array(grams, dtype=np.int64), self.buckets)}
+        rows = self._read({b: s for b, s in notes["segments"].items() if b in met}).where(F.col("gram").isin([HEAD, *grams]) & F.col("field").isin([HEAD, *asked]))
+        schema = T.StructType([self._id_field(), T.StructField("version", T.IntegerType()), *(T.StructField(c, T.IntegerType()) for c in ("field", "term", "n"))])
+
+        def run(group: pa.Table) -> pa.Table:
+            group = group.combine_chunks()
+            gram, field = group["gram"].to_numpy(), group["field"].to_numpy()
+            head = int(np.flatnonzero(gram == HEAD)[0])
+            ids, starts = group["ids"][head].values, group["starts"][head].values.to_numpy()
+            values, counts = unpacked(pa.concat_arrays(group["positions"].chunks))
+            ends = np.cumsum(counts)
+            places = {(int(g), int(f)): values[e - c : e] for g, f, c, e in zip(gram, field, counts, ends, strict=True)}
+            out = [(np.zeros(0, dtype=np.int64), 0, 0, np.zeros(0, dtype=np.int64))]
+            for f in asked:
+                for term, wanted in enumerate(covers):
+                    if all((g, f) in places for g, _ in wanted):
+                        common = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), [places[g, f] - offset for g, offset in wanted])
+                        found = np.searchsorted(starts[f * len(ids) : (f + 1) * len(ids)], common, side="right") - 1
+                        own, n = np.unique(found, return_counts=True)
+                        out.append((own, f, term, n))
+            each = lambda k: pa.array(np.repeat([o[k] for o in out], [len(o[0]) for o in out]), pa.int32())
+            own = np.concatenate([o[0] for o in out])
+            version = pa.array(np.full(len(own), group["version"][0].as_py()), pa.int32())
+            return pa.table([ids.take(pa.array(own)), version, each(1), each(2), pa.array(np.concatenate([o[3] for o in out]), pa.int32())], names=schema.names)
+
+        return rows.select("gram", "field", "docs", "positions", "ids", "starts", "version").groupBy("version", "docs").applyInArrow(run, schema)
 
     def search(self, terms: list[str], weights: dict[str, float] | None = None, every: bool = False) -> DataFrame:
         """(id, score, matched_all) of the documents that hold a term, by BM25, as ``retrieval.bm25`` scores them."""
