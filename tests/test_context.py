@@ -28,6 +28,32 @@ def test_line_chunks(spark, text):
     assert "".join(text[r.raw_start : r.raw_end] for r in got) == text
 
 
+def test_line_chunks_bound_what_they_repeat(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunking, "REPEATED", 4000)
+    rows = [(k, "a b\nccc\n" * (k % 7) * 9 + "d") for k in range(60)] + [(99, "x\n" * 400)]
+    docs = spark.createDataFrame(rows, "id int, content string").coalesce(1)
+    sizes = []
+    real = pa.RecordBatch.from_arrays
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema, of=type(docs).mapInArrow: sizes.append(run) or of(self, run, schema))
+    found = chunking.line_chunks(docs, 6, code="code").collect()
+    texts = dict(rows)
+    assert len(found) == sum(len(brute_chunks(t, 6)) for t in texts.values())
+    assert all(r.content == texts[r.id] and r.code == r.content[r.raw_start : r.raw_end] for r in found)
+    batch = real([pa.array([i for i, _ in rows], pa.int32()), *[pa.array([t for _, t in rows])] * 2], names=["id", "content", "_content"])
+    out = list(sizes[0](iter([batch])))
+    assert sum(b.num_rows for b in out) == len(found) and max(sum(map(len, b.column(1).to_pylist())) for b in out) <= 4000
+
+
+def test_fallback_chunks_the_found_files_alone(spark, data):
+    from weftline.plans import catalogue_code
+
+    plan = catalogue_code.lexical_fallback_chunks(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    made = plan.split("MapInArrow")[1]
+    assert "content#" not in made.split("\n")[0].split("[")[1].split("]")[0] and "LeftSemi" in made
+
+
 def test_search_document(spark):
     code = "/* block */\nclass AuthService { login_user() {} } // trailing\nx = 1 # hash\nurl = 'a#b'"
     got = chunking.search_document(spark.createDataFrame([("a.ts", code), ("b", "// only")], "breadcrumb string, display_code string")).collect()

@@ -18,28 +18,54 @@ from weftline.functions.text import symbol_tokens
 PROFILES = {"quality": (500, 50, 40), "balanced": (700, 100, 32), "performance": (900, 120, 24)}
 
 
-def line_chunks(files: DataFrame, most: int = 700, content: str = "content", keep: tuple[str, ...] | None = None) -> DataFrame:
+#: Bytes of kept columns that a batch of chunks repeats at most.
+REPEATED = 8 << 20
+
+
+def line_chunks(files: DataFrame, most: int = 700, content: str = "content", keep: tuple[str, ...] | None = None, code: str | None = None) -> DataFrame:
     """One row per chunk of consecutive lines with at most ``most`` non-space characters, a longer line alone.
 
     The columns ``keep`` (all where none are named), then chunk_index, start_index,
-    end_index (of the text), raw_start, raw_end (gapless) and nws_size. Files stay
-    where they are; each takes time and memory in proportion to its length. A null
-    text has no chunk.
+    end_index (of the text), raw_start, raw_end (gapless) and nws_size, and the raw
+    text of the chunk as ``code`` where that is named. Files stay where they are; each
+    takes time and memory in proportion to its length, unless its text is kept, which
+    every chunk then repeats. A null text has no chunk.
     """
     kept = [c for c in files.columns if keep is None or c in keep]
     own = ("chunk_index", "start_index", "end_index", "raw_start", "raw_end", "nws_size")
 
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+        """Parts of a batch whose chunks repeat at most ``REPEATED`` bytes of kept columns, or which are one file."""
+        each = sum((batch.column(k).nbytes for k in range(len(kept))), 0) / max(batch.num_rows, 1)
+        first, texts, found, size = 0, [], [], 0.0
+        for row in range(batch.num_rows):
+            text = batch.column(batch.num_columns - 1)[row].as_py()
+            spans = line_spans(text, most)
+            more = len(spans) * (each + 4 * len(text) * (content in kept)) + 4 * len(text) * (code is not None)
+            if found and size + more > REPEATED:
+                yield batch.slice(first, row - first), texts, found
+                first, texts, found, size = row, [], [], 0.0
+            texts.append(text)
+            found.append(spans)
+            size += more
+        if found:
+            yield batch.slice(first), texts, found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [line_spans(t, most) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch, texts, found in (piece for whole in batches for piece in pieces(whole)):
             row = np.repeat(np.arange(len(found)), [len(f) for f in found])
             spans = np.concatenate([np.zeros((0, 5), dtype=np.int32), *found])
             index = np.concatenate([np.zeros(0, dtype=np.int32), *(np.arange(len(f), dtype=np.int32) for f in found)])
-            # an index of one file's chunks after the other; large kept columns are copied a file's chunks at a time
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(kept))), pa.array(index), *(pa.array(np.ascontiguousarray(spans[:, k])) for k in range(5))], names=[*kept, *own])
-
-    schema = T.StructType([*(files.schema[c] for c in kept), *(T.StructField(c, T.IntegerType()) for c in own)])
+            shown = [[t[a:b] for t, f in zip(texts, found, strict=True) for a, b in f[:, 2:4].tolist()]] if code else []
+            # a file whose own chunks repeat more than that is dealt over several batches
+            step = max(1, REPEATED // (4 * max(int(spans[:, 3].max(initial=1)), 1))) if content in kept else max(len(row), 1)
+            for k in range(0, len(row), step):
+                part = slice(k, k + step)
+                at = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(len(kept))), pa.array(index[part]), *(pa.array(np.ascontiguousarray(spans[part, c])) for c in range(5)), *(pa.array(x[part], pa.string()) for x in shown)], names=names)
+
+    schema = T.StructType([*(files.schema[c] for c in kept), *(T.StructField(c, T.IntegerType()) for c in own), *([T.StructField(code, T.StringType())] if code else [])])
+    names = schema.names
     rows = files.where(F.col(content).isNotNull()).select(*kept, F.col(content).alias("_content"))
     return rows.mapInArrow(run, schema)
 

@@ -161,8 +161,10 @@ _OVER = " + ".join(f"CASE WHEN contains(t, '{w}') THEN CASE WHEN regexp_matches(
 )
 def lexical_fallback_chunks(spark: SparkSession, sf: str) -> DataFrame:
     found = _scored(spark, sf).select(F.col("doc_id").cast("string").alias("path"), "doc_id", "score").orderBy(F.col("score").desc(), "doc_id").limit(20).drop("doc_id")
+    found = written(found, "found")
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.col("text").alias("content"))
-    chunks = chunking.line_chunks(docs).select("file_path", "chunk_index", F.lit("x").alias("breadcrumb"), F.col("content").substr(F.col("raw_start") + 1, F.col("raw_end") - F.col("raw_start")).alias("display_code"))
+    asked = docs.join(F.broadcast(found.select(F.col("path").alias("file_path"))), "file_path", "left_semi")
+    chunks = chunking.line_chunks(asked, keep=("file_path",), code="display_code").select("file_path", "chunk_index", F.lit("x").alias("breadcrumb"), "display_code")
     return retrieval.lexical_fallback(found, chunks, TERMS).select(F.col("file_path").cast("long").alias("doc_id"), "chunk_index", F.round("score", 6).alias("score"))
 
 
