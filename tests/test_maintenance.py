@@ -193,3 +193,13 @@ def test_streams(spark, tmp_path):
         sessions.upsert_stream(changes, into, str(tmp_path / "check")).start().awaitTermination()
     assert {r.path: r.hash for r in into.read().collect()} == {"a": "two", "one": "one", "two": "two"}
     assert sum(len(v) for v in into.version()["buckets"].values()) <= 4  # two keys a batch, a bucket each at most
+
+
+def test_scripts_are_asked_for_once_whatever_their_extension(spark):
+    text = "import a from './x';\nimport b from './x.js';\nimport c from './y.mjs';\nimport d from './z';\nimport e from './w.ts';\nimport f from './up';\nimport g from './q.jsx'\nimport h from 'react'\n"
+    names = ["x.jsx", "x.tsx", "x.js", "x/index.ts", "y.ts", "y.mjs", "z/index.cjs", "z/index.tsx", "w.tsx", "w.ts.js", "up.TS", "q.ts", "q.jsx", "q.tsx"]
+    files = spark.createDataFrame([("a/m.ts", text), *((f"a/{n}", "") for n in names)], "path string, content string")
+    found = {r["import"]: r.to_path for r in imports.resolved(files).collect()}
+    assert found == {"./x": "a/x.tsx", "./x.js": "a/x.tsx", "./y.mjs": "a/y.mjs", "./z": "a/z/index.tsx", "./q.jsx": "a/q.tsx"}
+    asked = spark.createDataFrame([("a/m.ts", "./x"), ("a/m.ts", "./x.js"), ("a/m.ts", "react")], "file string, name string")
+    assert [r.n for r in asked.select(F.size(imports._script(F.col("file"), F.col("name"))).alias("n")).collect()] == [2, 1, 0]

@@ -1,7 +1,8 @@
 """Imports of source files: extraction by pattern, resolution by equal keys.
 
 Each language says how its imports look and which paths an import may mean. Exact
-candidates join on the path; candidates known by their end join on path suffixes,
+candidates join on the path, those of scripts on the path without extension, whose
+order is told afterwards; candidates known by their end join on path suffixes,
 which every file offers. The first candidate that exists wins, among files with the
 same suffix or run of folders the one whose folder shares most leading parts with
 the importing file's folder.
@@ -9,12 +10,14 @@ the importing file's folder.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import normalised_import
+from weftline.plans.lineage import written
 
 # Extensions of script modules, in order of preference, and what an explicit one may stand for.
 SCRIPT = [".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs", ".cts", ".cjs"]
@@ -26,7 +29,8 @@ class Language:
     """Extensions, patterns (each with the group that holds the import, and a tag put before it) and candidates.
 
     ``candidates(file, import)`` gives array<struct<kind, value>> in order of
-    preference; kind is ``path``, ``suffix`` or ``folder``.
+    preference; kind is ``path``, ``suffix``, ``folder`` or, for a path that lacks its
+    extension, ``script`` with the extension that is written, if any.
     """
 
     extensions: tuple[str, ...]
@@ -59,13 +63,23 @@ def _join(folder: Column, rest: Column) -> Column:
 
 
 def _script(file: Column, name: Column) -> Column:
-    base = normalised_import(file, name)
-    plain = [_c("path", F.concat(base, F.lit(e))) for e in SCRIPT] + [_c("path", F.concat(base, F.lit("/index" + e))) for e in SCRIPT]
-    out = _list(*plain)
-    for ext in SCRIPT:
-        stem = F.regexp_replace(base, f"\\{ext}$", "")
-        out = F.when(base.endswith(ext), _list(*[_c("path", F.concat(stem, F.lit(e))) for e in SCRIPT_MAPPED.get(ext, [ext])])).otherwise(out)
-    return out
+    """A script by its path without extension, then the index of the folder of that name."""
+
+    def of(base: Column) -> Column:
+        out = _list(_c("script", base), _c("script", F.concat(base, F.lit("/index"))))
+        for ext in SCRIPT:  # an explicit extension may stand for some others alone
+            out = F.when(base.endswith(ext), _list(_c(f"script{ext}", F.regexp_replace(base, f"\\{ext}$", "")))).otherwise(out)
+        return out
+
+    # the path is worked out once, not in each place where it is used
+    return F.transform(F.array(normalised_import(file, name)), of)[0]
+
+
+def _script_rank(kind: Column, ext: Column) -> Column:
+    """The place of a file's extension among those that an import may mean; null where it can't mean that one."""
+    orders = {"script": SCRIPT} | {f"script{e}": SCRIPT_MAPPED.get(e, [e]) for e in SCRIPT}
+    known = F.create_map(*[F.lit(x) for k, order in orders.items() for n, e in enumerate(order) for x in (f"{k} {e}", n)])
+    return F.try_element_at(known, F.concat(kind, F.lit(" "), ext))
 
 
 def _python(file: Column, name: Column) -> Column:
@@ -228,30 +242,41 @@ def nearest(asked: DataFrame, offered: DataFrame) -> DataFrame:
 def resolved(files: DataFrame) -> DataFrame:
     """(from_path, position, import, to_path) of the imports that mean a file.
 
-    An exact candidate joins on the path. A candidate by its end, or by a run of
-    folders, is looked up by ``nearest``; each folder of a language offers one file.
+    An exact candidate joins on the path, one of a script on the path without
+    extension. A candidate by its end, or by a run of folders, is looked up by
+    ``nearest``; each folder of a language offers one file. Candidates are written, as
+    several joins read them.
     """
     ext = F.lower(F.substring_index("path", ".", -1))
     options = F.array().cast("array<struct<kind:string,value:string>>")
     for lang in REGISTRY:
         options = F.when(ext.isin(*lang.extensions), lang.candidates(F.col("path"), F.col("import"))).otherwise(options)
     rows = extracted(files).select(F.col("path").alias("from_path"), "position", "import", _family(ext).alias("family"), _folder(F.col("path")).alias("folder"), F.posexplode(options).alias("choice", "o"))
-    asked = rows.select("from_path", "position", "import", "family", "folder", "choice", "o.kind", "o.value")
-    near = asked.where("kind <> 'path'")
+    asked = written(rows.select("from_path", "position", "import", "family", "folder", "choice", "o.kind", "o.value"), "asked")
+    by_end = F.col("kind").isin("suffix", "folder")
+    near = asked.where(by_end)
 
     test = F.col("to_path").endswith("_test.go")
     offered = files.where(ext.isin(*[e for lang in REGISTRY for e in lang.extensions])).select(F.col("path").alias("to_path"), _family(ext).alias("family"), _folder(F.col("path")).alias("folder")).withColumn("test", test)
     suffixes = offered.select("family", F.lit("suffix").alias("kind"), F.explode(_suffixes(F.col("to_path"))).alias("value"), "folder", "test", "to_path")
     firsts = offered.groupBy("family", "folder").agg(F.min(F.struct("test", "to_path")).alias("f"))
     within = firsts.select("family", F.lit("folder").alias("kind"), F.explode(_runs(F.col("folder"))).alias("value"), "folder", "f.test", "f.to_path")
-    exact = asked.where("kind = 'path'").join(offered.select("family", F.col("to_path").alias("value"), "test"), ["family", "value"])
-    hits = exact.select("from_path", "position", "import", "choice", F.struct("test", F.lit(0).alias("apart"), F.col("value").alias("to_path")).alias("best")).unionByName(
+    # a script is known by its path without extension, any other file by its path
+    stem = F.when(F.col("family") == _SCRIPTS, F.regexp_extract("to_path", f"(?s)^(.*)({'|'.join(re.escape(e) for e in SCRIPT)})$", 1)).otherwise(F.col("to_path"))
+    end = F.when(F.col("family") == _SCRIPTS, F.concat(F.lit("."), F.substring_index("to_path", ".", -1)))
+    exact = asked.where(~by_end).join(offered.select("family", stem.alias("value"), end.alias("end"), "test", "to_path"), ["family", "value"])
+    exact = exact.withColumn("rank", F.when(F.col("kind") == "path", 0).otherwise(_script_rank(F.col("kind"), F.col("end")))).where("rank is not null")
+    hits = exact.select("from_path", "position", "import", "choice", F.struct("test", F.col("rank").alias("apart"), "to_path").alias("best")).unionByName(
         near.join(nearest(near, suffixes.unionByName(within)), ["family", "kind", "value", "folder"]).select("from_path", "position", "import", "choice", "best")
     )
     first = F.min(F.struct("choice", "best", "position")).alias("m")
     return hits.groupBy("from_path", "import").agg(first).select("from_path", "m.position", "import", "m.best.to_path")
 
 
+#: The number of the scripts' family.
+_SCRIPTS = 0
+
+
 def _family(ext: Column) -> Column:
     out = F.lit(None).cast("int")
     for k, lang in enumerate(REGISTRY):
