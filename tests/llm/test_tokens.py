@@ -108,3 +108,28 @@ def test_remembered_keeps_two_generations():
     memory = bpe.Remembered(lambda k: seen.append(k) or k * 2, most=3)
     assert [memory[k] for k in (1, 2, 3, 4, 1)] == [2, 4, 6, 8, 2]
     assert seen == [1, 2, 3, 4] and len(memory) <= 3
+
+
+def test_packing_encodes_a_word_once_whatever_its_case_and_mark():
+    import struct
+
+    import public_tokenizers
+
+    from weftline.llm import packing
+
+    own = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Thion, thion. THION! thion", "İstanbul. ΑΣ. <|ENDOFTEXT|>, <|endoftext|>. word's, 3. é? . .. a.,b 中文, ß:"]
+    plain = own.own
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, part, **more):
+            asked.extend(part)
+            return plain.encode_batch_fast(part, **more)
+
+    own.own = Counted()
+    found = own.encode_all(texts)
+    for text, ids in zip(texts, found, strict=True):
+        expected = plain.encode(text, add_special_tokens=False).ids
+        assert ids == struct.pack(f"<{len(expected)}I", *expected)
+    assert [w for w in asked if w.lower().startswith("thion")] == ["thion"]

@@ -35,6 +35,21 @@ WINDOW, OPEN, LEAST_CUT, MEET = 2048, 32, 16, 64
 FORMATS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
+#: Marks that the pattern always cuts off a word of letters and digits.
+MARKS = frozenset(".,;:!?")
+
+
+def word_and_mark(chunk: str) -> tuple[str, str]:
+    """A word, in lower case as the vocabulary reads it, and the mark after it; any other chunk as it is.
+
+    Only ASCII is put in lower case here, and only letters and digits, so special tokens stay themselves.
+    """
+    word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in MARKS else (chunk, "")
+    if not word.isalnum():
+        return chunk, ""
+    return word.lower() if word.isascii() else word, mark
+
+
 class WordIds:
     """Ids of texts by the tokenizers library, remembered by space-free chunk.
 
@@ -51,6 +66,7 @@ class WordIds:
         self.own.no_padding()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks = {m: struct.pack(f"<{len(ids)}I", *ids) for m in ("", *MARKS) for ids in [self.own.encode(m, add_special_tokens=False).ids]}
 
     def encode_all(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -59,18 +75,27 @@ class WordIds:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         todo = []
-        for chunk in {c for s in split for c in s if c not in known}:
+        for chunk in set().union(*split).difference(known):
             if (found := older.get(chunk)) is None:
                 todo.append(chunk)
             else:
                 known[chunk] = found
-        for k in range(0, len(todo), 20_000):
-            part = todo[k : k + 20_000]
-            for chunk, found in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
+        parts = [word_and_mark(chunk) for chunk in todo]
+        words = []
+        for word in {w for w, _ in parts}.difference(known):
+            if (found := older.get(word)) is None:
+                words.append(word)
+            else:
+                known[word] = found
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            for word, found in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 ids = found.ids
-                known[chunk] = FORMATS[len(ids)](*ids) if len(ids) < len(FORMATS) else struct.pack(f"<{len(ids)}I", *ids)
+                known[word] = FORMATS[len(ids)](*ids) if len(ids) < len(FORMATS) else struct.pack(f"<{len(ids)}I", *ids)
+        for chunk, (word, mark) in zip(todo, parts, strict=True):
+            known[chunk] = known[word] + self.marks[mark]
         out = [b"".join(map(known.__getitem__, s)) for s in split]
-        for chunk in todo:
+        for chunk in {*todo, *words}:
             if len(chunk) > LONGEST:  # long ones would fill the memory
                 del known[chunk]
         return out
