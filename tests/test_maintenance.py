@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import analytics, graph, imports, indexing
+from weftline.plans import catalogue
 from weftline.sources import readers
 from weftline.sources.keyed import KeyedTable
 from weftline.streaming import sessions
@@ -203,3 +204,12 @@ def test_scripts_are_asked_for_once_whatever_their_extension(spark):
     assert found == {"./x": "a/x.tsx", "./x.js": "a/x.tsx", "./y.mjs": "a/y.mjs", "./z": "a/z/index.tsx", "./q.jsx": "a/q.tsx"}
     asked = spark.createDataFrame([("a/m.ts", "./x"), ("a/m.ts", "./x.js"), ("a/m.ts", "react")], "file string, name string")
     assert [r.n for r in asked.select(F.size(imports._script(F.col("file"), F.col("name"))).alias("n")).collect()] == [2, 1, 0]
+
+
+@pytest.mark.parametrize("language", ["c"])
+def test_imports_send_no_table_through_the_driver(spark, data, language):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1k")  # no room for any table that is broadcast
+    try:
+        assert len(catalogue.QUERIES[f"imports_{language}"](spark, data).collect()) > 0
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")

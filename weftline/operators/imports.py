@@ -220,6 +220,14 @@ def _suffixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the files, so neither goes whole through the driver.
+
+    Spark takes a written table for as small as its compressed file, and would broadcast it.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def nearest(asked: DataFrame, offered: DataFrame) -> DataFrame:
     """(family, kind, value, folder, best) for the asking folders: of the files that offer a key, the one to take.
 
@@ -231,12 +239,12 @@ def nearest(asked: DataFrame, offered: DataFrame) -> DataFrame:
     """
     key = ["family", "kind", "value"]
     wanted = asked.select(*key).distinct()
-    known = offered.join(wanted, key, "left_semi").withColumn("prefix", F.explode(_prefixes(F.col("folder"))))
+    known = _met(offered, wanted, key, "left_semi").withColumn("prefix", F.explode(_prefixes(F.col("folder"))))
     known = known.groupBy(*key, "prefix").agg(F.min(F.struct("test", "to_path")).alias("first"))
     asking = asked.select(*key, "folder").distinct().withColumn("prefix", F.explode(_prefixes(F.col("folder"))))
     depth = F.when(F.col("prefix") == "", 0).otherwise(F.size(F.split("prefix", "/")))
     best = F.min(F.struct(F.col("first.test").alias("test"), (-depth).alias("apart"), F.col("first.to_path").alias("to_path")))
-    return asking.join(known, [*key, "prefix"]).groupBy(*key, "folder").agg(best.alias("best"))
+    return _met(asking, known, [*key, "prefix"]).groupBy(*key, "folder").agg(best.alias("best"))
 
 
 def resolved(files: DataFrame) -> DataFrame:
@@ -264,10 +272,10 @@ def resolved(files: DataFrame) -> DataFrame:
     # a script is known by its path without extension, any other file by its path
     stem = F.when(F.col("family") == _SCRIPTS, F.regexp_extract("to_path", f"(?s)^(.*)({'|'.join(re.escape(e) for e in SCRIPT)})$", 1)).otherwise(F.col("to_path"))
     end = F.when(F.col("family") == _SCRIPTS, F.concat(F.lit("."), F.substring_index("to_path", ".", -1)))
-    exact = asked.where(~by_end).join(offered.select("family", stem.alias("value"), end.alias("end"), "test", "to_path"), ["family", "value"])
+    exact = _met(asked.where(~by_end), offered.select("family", stem.alias("value"), end.alias("end"), "test", "to_path"), ["family", "value"])
     exact = exact.withColumn("rank", F.when(F.col("kind") == "path", 0).otherwise(_script_rank(F.col("kind"), F.col("end")))).where("rank is not null")
     hits = exact.select("from_path", "position", "import", "choice", F.struct("test", F.col("rank").alias("apart"), "to_path").alias("best")).unionByName(
-        near.join(nearest(near, suffixes.unionByName(within)), ["family", "kind", "value", "folder"]).select("from_path", "position", "import", "choice", "best")
+        _met(near, nearest(near, suffixes.unionByName(within)), ["family", "kind", "value", "folder"]).select("from_path", "position", "import", "choice", "best")
     )
     first = F.min(F.struct("choice", "best", "position")).alias("m")
     return hits.groupBy("from_path", "import").agg(first).select("from_path", "m.position", "import", "m.best.to_path")
