@@ -206,7 +206,7 @@ def test_scripts_are_asked_for_once_whatever_their_extension(spark):
     assert [r.n for r in asked.select(F.size(imports._script(F.col("file"), F.col("name"))).alias("n")).collect()] == [2, 1, 0]
 
 
-@pytest.mark.parametrize("language", ["c", "csharp", "kotlin", "php", "python", "ruby"])
+@pytest.mark.parametrize("language", ["c", "csharp", "kotlin", "php", "python", "ruby", "swift"])
 def test_imports_send_no_table_through_the_driver(spark, data, language):
     spark.conf.set("spark.sql.maxBroadcastTableSize", "1k")  # no room for any table that is broadcast
     try:
